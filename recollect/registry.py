@@ -1,0 +1,16 @@
+"""Every query of the conversation engine with its DuckDB counterpart."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"))
