@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recollect.llm.common import table
+from recollect.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: None of the ten results can be written in SQL at the size of whole tables, or at all, unless listed here.
@@ -33,6 +33,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    models = train(docs, fold("doc_id", 3) != 1)
+    return identify(docs, models).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.mixing import mix
