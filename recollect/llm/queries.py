@@ -19,6 +19,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.audio import DIGEST, clips
+
+    return clips(table(spark, sf_dir, "documents"), want=DIGEST)
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.tokens import count_tokens
