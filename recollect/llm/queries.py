@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recollect.llm.common import fold, table
 
@@ -33,6 +34,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+@query
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.packing import pack
