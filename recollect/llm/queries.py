@@ -66,6 +66,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.mixing import mix
