@@ -78,3 +78,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.suffix import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"), length=50)
