@@ -142,3 +142,23 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         done = done.unionByName(more)
     out = done.withColumn("copies", F.round("copies").cast("long")).join(goal.withColumnRenamed("source", "goal_source"), F.col("source").eqNullSafe(F.col("goal_source")), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
+    """Every row of docs as often as the mix copies it, with all its columns.
+
+    Rows of one id, source and size take the copies of such rows in any order."""
+    key = [F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source")]
+    drawn = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **more).select(*key, F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *key, n_words(F.col(text_col)).alias("_size"))
+    n = docs.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
+    if n[0] == n[1]:  # ids tell rows apart
+        both = rows.join(drawn.drop("_source", "_size"), "_id")
+    else:
+        number = lambda by: F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(by))
+        a, b = rows.withColumn("_n", number(F.lit(1))), drawn.withColumn("_n", number(F.desc("_copies")))
+        b = b.toDF(*(f"{c}_b" for c in b.columns))
+        on = [a[c].eqNullSafe(b[f"{c}_b"]) for c in ("_id", "_source", "_size", "_n")]
+        both = a.join(b, on[0] & on[1] & on[2] & on[3]).withColumnRenamed("_copies_b", "_copies")
+    many = both.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
+    return many.select("_row.*")

@@ -20,6 +20,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from recollect.llm.pii import detect, digest
+
+    return digest(detect(table(spark, sf_dir, "documents")))
+
+
 @query
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from recollect.llm.audio import DIGEST, clips

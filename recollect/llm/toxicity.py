@@ -93,6 +93,7 @@ class Trees:
     rate: float = 0.15
     bins: int = 48
     penalty: float = 1.0
+    least: float = 1.0  # curvature a child needs
     base: float = 0.0
     edges: list = field(default_factory=list)
     trees: list = field(default_factory=list)
@@ -126,7 +127,7 @@ class Trees:
                 hl = np.bincount(cell, h, nodes * width).reshape(nodes, width).cumsum(1)
                 gt, ht = gl[:, -1:], hl[:, -1:]
                 gain = gl**2 / (hl + self.penalty) + (gt - gl) ** 2 / (ht - hl + self.penalty) - gt**2 / (ht + self.penalty)
-                gain[(hl < 1e-3) | (ht - hl < 1e-3)] = 0
+                gain[(hl < self.least) | (ht - hl < self.least)] = 0
                 k = gain.argmax(1)
                 better = gain[np.arange(nodes), k] > best
                 best[better], on[better], at[better] = gain[np.arange(nodes), k][better], j, k[better]
@@ -240,3 +241,18 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigher = Weigher(model.learned)
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                s = model.score([t or "" for t in part.column(at).to_pylist()], weigher)
+                yield part.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
