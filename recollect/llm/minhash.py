@@ -6,9 +6,9 @@
    member of least hash, so a group of near copies costs a row a member and not a row a pair.
 3. A pair must agree on enough of its signature (two bits a minimum are carried), then its full sets are compared.
 4. Components of the verified links come from alternating large-star and small-star.
-5. Whatever a star may have missed lies between different components of one bucket: those members are compared by
-   signature in tiles of bounded size, and the few pairs that pass are verified like the others. No link between
-   different components within a bucket is left out, and links within a component change nothing.
+5. Whatever the stars missed lies between members of one bucket, so between members of one centre, in different
+   components. Those are compared in tiles of bounded size, by signature and then by full sets, and only links that
+   join components leave a tile. No such link is left out, and links within a component change nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import cut
+from recollect.llm.common import cut, free
 
 MINIMA, ROWS = 128, 4
 SPACE = np.zeros(256, bool)
@@ -64,7 +64,7 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     if not len(words):
         return words
     n = max(1, len(words) - size + 1)
-    acc = np.full(n, np.uint64(min(size, len(words))) * GOLD)
+    acc = np.full(n, np.uint64(min(size, len(words)))) * GOLD
     for j in range(min(size, len(words))):
         acc = mix(acc * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n])
     return np.unique(acc)
@@ -175,31 +175,77 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.distinct())
 
 
-def tiles(buckets: DataFrame, least: int, tile: int) -> DataFrame:
-    """Pairs (a, b) of different roots within one bucket h whose sketches agree on `least` minima or more.
-
-    buckets: h, id, root, sk, total (members of the bucket). A bucket is cut in tiles of about `tile` members; each
-    pair of tiles is one group, so no task holds more than two of them."""
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, roots, own = (group.column(c).to_numpy() for c in ("id", "root", "t"))
-        sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for s in range(0, len(left), 64):
-            rows = left[s : s + 64]
-            p, q = np.nonzero((agreement(sk[rows][:, None], sk[right][None]) >= least) & (roots[rows][:, None] != roots[right][None]))
-            x, y = ids[rows[p]], ids[right[q]]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": found[:, 0].astype(np.int64), "b": found[:, 1].astype(np.int64)})
-
-    n = F.ceil(F.col("total") / tile).cast("int")
-    cells = buckets.withColumn("t", F.pmod(F.xxhash64("id"), n).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
-    cells = cells.select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "root", "t", "sk")
-    return cells.groupBy("h", "i", "j").applyInArrow(run, "a long, b long").distinct()
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Number of shared shingles of each (left, right) pair that is wanted; others may be left 0.
+
+    Few pairs are intersected one by one; many as a product of incidence matrices, whose columns are the shingles that
+    more than one set holds, a block at a time."""
+    out = np.zeros(wanted.shape, np.int64)
+    value = np.concatenate([*left, *right])
+    if wanted.sum() * 60 < wanted.size or len(value) > 40 * len(left) * len(right):
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            out[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        return out
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, code, count = np.unique(value, return_inverse=True, return_counts=True)
+    common = count > 1
+    column = np.cumsum(common) - 1
+    keep = common[code]
+    owner, code = owner[keep], column[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for first in range(0, int(common.sum()), 2048):
+        lo, hi = np.searchsorted(code, [first, first + 2048])
+        held = np.zeros((len(left) + len(right), 2048), np.float32)
+        held[owner[lo:hi], code[lo:hi] - first] = 1
+        out += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
+
+
+def within(group: pa.Table, size: int, percent: int, least: int) -> pa.Table:
+    """Links (a, b) between different roots of one pair of tiles, as many as join what is linked and no more."""
+    ids, roots, own = (group.column(c).to_numpy() for c in ("id", "root", "t"))
+    sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(ids), -1)
+    left, right = np.flatnonzero(own == group.column("i")[0].as_py()), np.flatnonzero(own == group.column("j")[0].as_py())
+    like = np.zeros((len(left), len(right)), bool)
+    for s in range(0, len(left), 64):
+        rows = left[s : s + 64]
+        like[s : s + 64] = (agreement(sk[rows][:, None], sk[right][None]) >= least) & (roots[rows][:, None] != roots[right][None])
+    keep, also = like.any(1), like.any(0)
+    left, right, like = left[keep], right[also], like[keep][:, also]
+    found: list[tuple[int, int]] = []
+    if like.any():
+        used = np.union1d(left, right)
+        column = group.column("text").take(pa.array(used)).to_pylist()
+        sets = dict(zip(used.tolist(), (shingle_set(w, size) for w in word_hashes([t or "" for t in column])), strict=True))
+        x, y = [sets[i] for i in left.tolist()], [sets[i] for i in right.tolist()]
+        shared = shared_counts(x, y, like)
+        joint = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None] - shared
+        above = {}
+
+        def top(r: int) -> int:
+            while (up := above.get(r, r)) != r:
+                r = up
+            return r
+
+        for i, j in zip(*np.nonzero(like & (100 * shared >= percent * joint)), strict=True):
+            p, q = top(int(roots[left[i]])), top(int(roots[right[j]]))
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                found.append((int(ids[left[i]]), int(ids[right[j]])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def leftovers(members: DataFrame, texts: DataFrame, size: int, percent: int, least: int, tile: int) -> DataFrame:
+    """Links between members of different roots around one centre. members: centre, id, root, sk, n.
+
+    A centre's members are cut in tiles of about `tile` documents and 600 shingles each on average; each pair of tiles
+    is one group, so no task holds more than two of them, and pairs that are not linked never leave it."""
+    weight = F.greatest(F.count("*") / tile, F.sum("n") / (600 * tile))
+    apart = members.groupBy("centre").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(weight).cast("int").alias("parts")).where("r0 <> r1").select("centre", "parts")
+    cells = members.join(apart, "centre").withColumn("t", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("centre", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "root", "t", "sk").join(texts, "id")
+    return cells.groupBy("centre", "i", "j").applyInArrow(lambda g: within(g, size, percent, least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 2000) -> DataFrame:
@@ -211,28 +257,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     A null id takes no part: component_id null, kept true. An empty table gives no rows; other columns are not read.
     """
     rows = cut(profile(docs, words, id_col, text_col))
-    classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sk").alias("sk")))
+    classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sk").alias("sk")))
     member = classes.select("id", "sk", F.explode("bands").alias("h"))
-    centres = member.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "sk")).alias("c"), F.count("*").alias("total")).where("total > 1")
-    shared = cut(member.join(centres, "h").select("h", "id", "sk", "total", F.col("c.id").alias("centre"), F.col("c.sk").alias("csk")))
+    centres = member.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "sk")).alias("c"), F.count("*").alias("total")).where("total > 1").drop("total")
+    shared = member.join(centres, "h").select("id", "sk", F.col("c.id").alias("centre"), F.col("c.sk").alias("csk"))
     least = least_agreement(percent)
     stars = shared.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.first("sk").alias("sk"), F.first("csk").alias("csk"))
+    stars = cut(stars)
+    free(docs.sparkSession)
     x = [F.conv(F.hex(F.substring(c, 1 + 8 * i, 8)), 16, -10).cast("long") for c in ("sk", "csk") for i in range(4)]
     differ = [x[i].bitwiseXOR(x[4 + i]) for i in range(4)]
     agree = MINIMA - F.bit_count(differ[0].bitwiseOR(differ[2])) - F.bit_count(differ[1].bitwiseOR(differ[3]))
-    tested = cut(stars.where(agree >= least).select("a", "b"))
+    tested = stars.where(agree >= least).select("a", "b")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     links = cut(verified(tested, texts, words, percent))
+    free(docs.sparkSession)
     same = rows.where("n > 0 AND id IS NOT NULL").join(classes.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
     roots = components(links)
-    label = shared.join(roots, "id", "left").select("h", "id", "sk", "total", F.coalesce("root", "id").alias("root"))
-    apart = label.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
-    extra = tiles(label.join(apart, "h"), least, tile)
-    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    extra = cut(extra.join(seen, ["a", "b"], "left_anti"))
-    if not extra.isEmpty():
-        more = verified(extra, texts, words, percent)
+    # All members of a centre's buckets, tested against it or not: a link a star missed joins two of them.
+    members = stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), "sk").join(roots, "id", "left").join(classes.select("id", "n"), "id").select("centre", "id", "sk", "n", F.coalesce("root", "id").alias("root"))
+    more = cut(leftovers(members, texts, words, percent, least, tile))
+    free(docs.sparkSession)
+    if not more.isEmpty():
         roots = components(links.union(more))
     linked = same.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     # Copies hang on their class's representative: one more look-up instead of one more round.
@@ -244,3 +291,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
+
+
+def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near copies, that of the smallest id; null ids and other rows stay."""
+    found = near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    gone = found.where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
+    left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    n = docs.where(F.col(id_col).isNotNull()).agg(F.count(id_col), F.countDistinct(id_col)).first()
+    if n[0] == n[1]:
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))

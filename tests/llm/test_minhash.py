@@ -25,7 +25,7 @@ def brute(rows, size, percent=80):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
