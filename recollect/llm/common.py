@@ -40,11 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files whose plans are no longer referenced (after a cut)."""
+    """Let Spark drop shuffle files whose plans are no longer referenced (after a cut). The second round finds what
+    the first one's finalizers have let go."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def n_words(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A byte goes if some string of `length` bytes that covers it also starts in a document with a smaller id.
 
-1. Anchors. In every stretch of `length` bytes the 16-gram of least hash is an anchor, so two equal stretches have
+1. Anchors. In every stretch of `length` bytes the 24-gram of least hash is an anchor, so two equal stretches have
    their anchors at the same place. An anchor stands for its read: the bytes of all stretches that contain it.
 2. Equal reads are merged where they are found, first within a task and then by anchor: only a read's smallest
    document matters to others. All other holders of a read lose it whole. A group of copies sends one row a task.
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from recollect.llm.common import cut, free
 
-GRAM = 16
+GRAM = 24
 _R = np.random.default_rng(77)
 BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64)
-FACTORS = (_R.integers(1, 1 << 62, 4, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+FACTORS = (_R.integers(1, 1 << 62, 5, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 REPEATED = 1 << 31
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -59,13 +59,15 @@ def anchors(b: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray,
     n = len(b)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, size = BYTE[b], 1
-    for f in FACTORS:
-        nxt = np.zeros_like(h)
-        nxt[: n - size] = h[size:]
-        h = h * f + nxt
-        size *= 2
-    h = _mix(h)
+    def then(first: np.ndarray, second: np.ndarray, at: int, factor: np.uint64) -> np.ndarray:
+        later = np.zeros_like(second)
+        later[: n - at] = second[at:]
+        return first * factor + later
+
+    h = BYTE[b]
+    for k in range(3):
+        h = then(h, h, 1 << k, FACTORS[k])
+    h = _mix(then(then(h, h, 8, FACTORS[3]), h, 16, FACTORS[4]))  # 8, 16, 24 bytes
     ends = np.repeat(edges[1:], np.diff(edges))
     at = np.arange(n)
     h[at + GRAM > ends] = TOP
@@ -159,7 +161,7 @@ class Gatherer:
                 used, local = np.unique(doc[rows], return_inverse=True)
                 local = local.astype(np.uint16)
                 at_go, at_lost = local[sent[rows]], local[~sent[rows]]
-                yield k, b"".join((struct.pack("<III", len(used), len(go), len(lost)), ids[used].tobytes(), hashes[used].tobytes(), a[go].tobytes(), f[go].tobytes(), at_go.tobytes(), pos[go].tobytes(), at_lost.tobytes(), pos[lost].tobytes()))
+                yield k, b"".join((struct.pack("<III", len(used), len(go), len(lost)), ids[used].tobytes(), hashes[used].tobytes(), a[go].astype(np.uint32).tobytes(), f[go].tobytes(), at_go.tobytes(), pos[go].tobytes(), at_lost.tobytes(), pos[lost].tobytes()))
         self.ids, self.hashes, self.raw, self.size = [], [], [], 0
 
 
@@ -167,7 +169,7 @@ def _unpack(row: bytes) -> tuple[np.ndarray, ...]:
     n, go, lost = struct.unpack_from("<III", row)
     at = 12
     out = []
-    for count, kind in ((n, np.int64), (n, np.int64), (go, np.uint64), (go, np.uint64), (go, np.uint16), (go, np.uint32), (lost, np.uint16), (lost, np.uint32)):
+    for count, kind in ((n, np.int64), (n, np.int64), (go, np.uint32), (go, np.uint64), (go, np.uint16), (go, np.uint32), (lost, np.uint16), (lost, np.uint32)):
         out.append(np.frombuffer(row, kind, count, at))
         at += count * np.dtype(kind).itemsize
     ids, hashes, a, f, d, pos, dl, pl = out
@@ -194,6 +196,8 @@ def resolve(rows: pa.Table) -> pa.Table:
     """Of one bucket: who loses a read whole, and which differing reads of one anchor must be compared."""
     parts = [_unpack(x) for x in rows.column("payload").to_pylist()]
     a, f, doc, th, pos, lost_doc, lost_th, lost_pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    # Within a bucket 32 bits of an anchor's hash are enough: two anchors taken for one only make a comparison more.
+    a = a.astype(np.int64) | np.int64(rows.column("bucket")[0].as_py()) << np.int64(32)
     order = np.lexsort((th, doc, f, a))
     a, f, doc, th, pos = a[order], f[order], doc[order], th[order], pos[order]
     lead = np.flatnonzero(_firsts(a, f))
@@ -334,15 +338,15 @@ def lost_bytes(raw: bytes, whole: np.ndarray, stretches: tuple[np.ndarray, np.nd
     return np.cumsum(step[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 24 << 20, task_bytes: int = 48 << 20, keep_text: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, bucket_bytes: int = 24 << 20, task_bytes: int = 32 << 20, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep_text also kept (binary).
 
     Null and empty texts have 0 bytes, those below `length` lose nothing. Rows repeated under one id don't cut each
     other; each is judged against smaller ids. A null id takes no part and keeps its text. An empty table gives no
-    rows; other columns are not read. `length` is at least 32.
+    rows; other columns are not read. `length` is at least 48.
     """
     if length < 2 * GRAM:
-        raise ValueError("length below 32")
+        raise ValueError("length below 48")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

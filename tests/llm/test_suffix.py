@@ -105,5 +105,5 @@ def test_every_stretch_has_an_anchor():
     place, _ = anchors(raw, np.array([0, 1000, 1030, 3000]), 50)
     for lo, hi in ((0, 1000), (1030, 3000)):
         for s in range(lo, hi - 49):
-            assert ((place >= s) & (place + 16 <= s + 50)).any()
-    assert not ((place > 1000 - 16) & (place < 1030)).any()
+            assert ((place >= s) & (place + 24 <= s + 50)).any()
+    assert not ((place > 1000 - 24) & (place < 1030)).any()
