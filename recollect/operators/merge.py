@@ -18,8 +18,13 @@ def overlap_dedup(items: Column, least: int = 2) -> Column:
 
     def step(kept: Column, c: Column) -> Column:
         at = F.array_position(F.transform(kept, lambda k: overlaps(k, c)), True)
-        swapped = F.transform(kept, lambda k, i: F.when((i == at - 1) & (T.units(c.item) > T.units(k.item)), c).otherwise(k))
-        return F.when(at > 0, swapped).otherwise(F.concat(kept, F.array(c)))
+
+        def placed(at: Column) -> Column:
+            swapped = F.transform(kept, lambda k, i: F.when((i == at - 1) & (T.units(c.item) > T.units(k.item)), c).otherwise(k))
+            return F.when(at > 0, swapped).otherwise(F.concat(kept, F.array(c)))
+
+        # In an array of one the position is computed once an item, not once a kept one.
+        return F.transform(F.array(at), placed)[0]
 
     return F.transform(F.aggregate(pairs, start, step), lambda k: k.item)
 

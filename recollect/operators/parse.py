@@ -27,8 +27,13 @@ def json_part(reply: Column) -> Column:
 
 
 def without_done(items: Column, completed: Column, least: int = 3) -> Column:
-    """Items that share fewer than `least` words with every completed one."""
-    return F.filter(items, lambda x: ~F.exists(completed, lambda y: T.shared_words(x, y) >= least))
+    """Items that share fewer than `least` words with every completed one. Word sets are computed once an item."""
+
+    def kept(done: Column) -> Column:
+        far = lambda w: ~F.exists(done, lambda y: F.size(F.array_intersect(w, y)) >= least)
+        return F.filter(items, lambda x: F.transform(F.array(T.word_set(x)), far)[0])
+
+    return F.transform(F.array(F.transform(completed, T.word_set)), kept)[0]
 
 
 def parse_reply(reply: Column, categories: tuple[str, ...] = ("project", *L.BUCKETS)) -> Column:

@@ -107,11 +107,19 @@ def sentence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of sentences with common words: those of each document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     parts = F.filter(F.transform(F.split(F.col("text"), r"[.\n]+"), T.trim), lambda x: F.length(x) >= 6)
-    return docs.select("doc_id", F.slice(parts, 1, 12).alias("items"))
+    return docs.select("doc_id", parts.alias("items"))
+
+
+def neighbours(lists: DataFrame) -> DataFrame:
+    """doc_id, pair, shared: words common to each item and the next; pair counts from 1."""
+    words = F.transform("items", T.word_set)
+    shared = F.transform(F.sequence(F.lit(1), F.size("items") - 1), lambda i: F.size(F.array_intersect(F.col("words")[i - 1], F.col("words")[i])).cast("long"))
+    df = lists.where(F.size("items") > 1).select("doc_id", "items", words.alias("words")).select("doc_id", F.posexplode(shared).alias("pair", "shared"))
+    return df.select("doc_id", (F.col("pair") + 1).cast("long").alias("pair"), "shared")
 
 
 SENTENCES = f"SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: {oracles.trim('x')}), lambda x: length(x) >= 6)[1:12] AS items FROM documents"
-QUERIES["shared_words"] = lambda spark, sf_dir: sentence_lists(spark, sf_dir).where(F.size("items") > 1).select("doc_id", T.shared_words(F.col("items")[0], F.col("items")[1]).cast("long").alias("shared"))
+QUERIES["shared_words"] = lambda spark, sf_dir: neighbours(sentence_lists(spark, sf_dir))
 ORACLES["shared_words"] = f"SELECT doc_id, CAST(len(list_intersect({WORDS.replace('X', 'items[1]')}, {WORDS.replace('X', 'items[2]')})) AS BIGINT) AS shared FROM ({SENTENCES}) WHERE len(items) > 1"
 OVERLAP = f"len(list_intersect({WORDS.replace('X', 'k')}, {WORDS.replace('X', 'c')})) >= 2"
 DEDUP = f"list_reduce(items, lambda a, c: CASE WHEN len(list_filter(a, lambda k: {OVERLAP})) > 0 THEN list_transform(a, lambda k, i: CASE WHEN i = list_position(list_transform(a, lambda k: {OVERLAP}), true) AND {oracles.units('c')} > {oracles.units('k')} THEN c ELSE k END) ELSE list_append(a, c) END, CAST([] AS VARCHAR[]))"
@@ -166,7 +174,7 @@ QUERIES["parse_response"] = lambda spark, sf_dir: replies(spark, sf_dir).select(
 _READ = f"SELECT event_id, reply, ok, CASE WHEN NOT ok THEN '{parse.PLACEHOLDER}' WHEN json_type(j, '$.project') = 'VARCHAR' THEN json_extract_string(j, '$.project') ELSE '' END AS project, " + ", ".join(f"{_FIELD('j', n)} AS {b}" for b, n in parse.JSON_NAMES.items()) + f" FROM (SELECT *, json_valid(part) AS ok, CASE WHEN json_valid(part) THEN CAST(part AS JSON) END AS j FROM ({_PART}))"
 _DROP = lambda c: f"list_filter({c}, lambda a: len(list_filter(completed, lambda b: {_THREE})) = 0)"
 ORACLES["parse_response"] = f"SELECT event_id, project, array_to_string({_DROP('decisions')}, ' | ') AS decisions, array_to_string(completed, ' | ') AS completed, array_to_string({_DROP('in_progress')}, ' | ') AS in_progress, array_to_string(preferences, ' | ') AS preferences, array_to_string(open_questions, ' | ') AS open_questions, CASE WHEN NOT ok THEN reply END AS raw FROM ({_READ})"
-QUERIES["cross_field_dedup"] = lambda spark, sf_dir: sentence_lists(spark, sf_dir).select("doc_id", F.array_join(parse.without_done(F.slice("items", 4, 9), F.slice("items", 1, 3)), " | ").alias("kept"))
+QUERIES["cross_field_dedup"] = lambda spark, sf_dir: sentence_lists(spark, sf_dir).select("doc_id", F.array_join(parse.without_done(F.slice("items", F.lit(4), F.greatest(F.size("items"), F.lit(0))), F.slice("items", 1, 3)), " | ").alias("kept"))
 ORACLES["cross_field_dedup"] = f"SELECT doc_id, array_to_string({_DROP('rest')}, ' | ') AS kept FROM (SELECT doc_id, items[4:12] AS rest, items[1:3] AS completed FROM ({SENTENCES}))"
 
 
