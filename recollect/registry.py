@@ -131,10 +131,11 @@ def chunk_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of chunks of 15 messages of the event conversations, each chunk taken for a conversation of its own."""
     old = window.with_chunks(window.split_window(from_events(spark, sf_dir), 10).where("is_old"), 15)
     # conv_id and chunk make the key under which extract sees a chunk.
-    keyed = old.withColumn("conv_id", F.col("conv_id") * 1000 + F.col("chunk_id"))
-    wide = extract.facts_wide(facts(keyed))
-    given = F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit("chunk "), F.col("conv_id"))).otherwise("")
-    return wide.select(F.floor(F.col("conv_id") / 1000).cast("long").alias("conv_id"), (F.col("conv_id") % 1000).alias("chunk_id"), given.alias("project"), *L.BUCKETS)
+    keyed = old.withColumn("conv_id", F.struct("conv_id", "chunk_id"))
+    wide = extract.facts_wide(facts(keyed)).select("conv_id.conv_id", "conv_id.chunk_id", *L.BUCKETS)
+    number = F.col("conv_id") * 1000 + F.col("chunk_id")
+    given = F.when(number % 2 == 1, F.concat(F.lit("chunk "), number)).otherwise("")
+    return wide.select("conv_id", "chunk_id", given.alias("project"), *L.BUCKETS)
 
 
 _FOLD = DEDUP.replace("items", "{c}")
