@@ -122,6 +122,13 @@ def tensors(mel: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def from_tensors(stream: bytes) -> np.ndarray:
+    """The frames in use of all blocks, by BANDS."""
+    batch = pa.ipc.open_stream(stream).read_next_batch()
+    full = batch.column("tensor").to_numpy_ndarray()
+    return np.concatenate([block[:n] for block, n in zip(full, batch.column("frames").to_pylist(), strict=True)])
+
+
 def describe(mel: np.ndarray) -> str:
     """Frames and bands; rounded mean of each band in hundredths; energy segments in ms."""
     ms = 1000 * HOP // TARGET
@@ -135,7 +142,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-#: Output columns of clips(); media and tensors are large and come only if asked for.
+#: Output columns of clips(); media and tensors are made for every row, but are large and come only if asked for.
 COLUMNS = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(), "tensors": pa.binary()}
 SQL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 DIGEST = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -145,17 +152,18 @@ def clip(text: str | None, want: tuple[str, ...]) -> dict:
     n, raw = payload(text)
     media = to_wav(raw)
     _, back = from_wav(media)
-    mel = log_mel(resample((np.frombuffer(back, np.uint8) - 128.0) / 128.0))
-    got = {"n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": describe(mel)}
+    stream = tensors(log_mel(resample((np.frombuffer(back, np.uint8) - 128.0) / 128.0)))
+    got = {"n_bytes": n, "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": describe(from_tensors(stream))}
     if "media" in want:
         got["media"] = media
     if "tensors" in want:
-        got["tensors"] = tensors(mel)
+        got["tensors"] = stream
     return got
 
 
 def clips(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", want: tuple[str, ...] = (*DIGEST, "media", "tensors"), rows_a_batch: int = 64) -> DataFrame:
-    """id and the wanted COLUMNS of every row: the text's bytes as a clip, read back, and its features.
+    """id and the wanted COLUMNS of every row: the text's bytes as a clip, read back, and its features, which are taken
+    from the tensors read back.
 
     Null and empty texts are one UNIT of blanks, n_bytes 0. Repeated rows stay; an empty table gives no rows; other
     columns are not read.
