@@ -118,13 +118,27 @@ def neighbours(lists: DataFrame) -> DataFrame:
     return df.select("doc_id", (F.col("pair") + 1).cast("long").alias("pair"), "shared")
 
 
-SENTENCES = f"SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: {oracles.trim('x')}), lambda x: length(x) >= 6)[1:12] AS items FROM documents"
+SENTENCES = (
+    f"SELECT doc_id, list_transform(items, lambda y: {{'s': y, 'w': {WORDS.replace('X', 'y')}}}) AS items FROM (SELECT doc_id, "
+    f"list_filter(list_transform(string_split_regex(text, '[.\\n]+'), lambda x: {oracles.trim('x')}), lambda x: length(x) >= 6) AS items FROM documents)"
+)
 QUERIES["shared_words"] = lambda spark, sf_dir: neighbours(sentence_lists(spark, sf_dir))
-ORACLES["shared_words"] = f"SELECT doc_id, CAST(len(list_intersect({WORDS.replace('X', 'items[1]')}, {WORDS.replace('X', 'items[2]')})) AS BIGINT) AS shared FROM ({SENTENCES}) WHERE len(items) > 1"
-OVERLAP = f"len(list_intersect({WORDS.replace('X', 'k')}, {WORDS.replace('X', 'c')})) >= 2"
-DEDUP = f"list_reduce(items, lambda a, c: CASE WHEN len(list_filter(a, lambda k: {OVERLAP})) > 0 THEN list_transform(a, lambda k, i: CASE WHEN i = list_position(list_transform(a, lambda k: {OVERLAP}), true) AND {oracles.units('c')} > {oracles.units('k')} THEN c ELSE k END) ELSE list_append(a, c) END, CAST([] AS VARCHAR[]))"
+ORACLES["shared_words"] = (
+    "SELECT doc_id, CAST(i AS BIGINT) AS pair, CAST(len(list_intersect(items[i].w, items[i + 1].w)) AS BIGINT) AS shared "
+    f"FROM (SELECT doc_id, items, unnest(generate_series(1, len(items) - 1)) AS i FROM ({SENTENCES}) WHERE len(items) > 1)"
+)
+
+
+def fold_sql(items: str) -> str:
+    """The fold of merge.overlap_dedup over a list of structs of a text s and its words w."""
+    first = "list_position(list_transform(a, lambda k: len(list_intersect(k.w, c.w)) >= 2), true)"
+    swapped = f"list_transform(a, lambda k, i: CASE WHEN i = p AND {oracles.units('c.s')} > {oracles.units('k.s')} THEN c ELSE k END)"
+    step = f"list_transform([{first}], lambda p: CASE WHEN p > 0 THEN {swapped} ELSE list_append(a, c) END)[1]"
+    return f"list_transform(list_reduce({items}, lambda a, c: {step}, {items}[1:0]), lambda k: k.s)"
+
+
 QUERIES["overlap_dedup"] = lambda spark, sf_dir: sentence_lists(spark, sf_dir).select("doc_id", F.array_join(merge.overlap_dedup(F.col("items")), " | ").alias("kept"))
-ORACLES["overlap_dedup"] = f"SELECT doc_id, array_to_string({DEDUP}, ' | ') AS kept FROM ({SENTENCES})"
+ORACLES["overlap_dedup"] = f"SELECT doc_id, array_to_string({fold_sql('items')}, ' | ') AS kept FROM ({SENTENCES})"
 
 
 def chunk_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,20 +152,30 @@ def chunk_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("conv_id", "chunk_id", given.alias("project"), *L.BUCKETS)
 
 
-_FOLD = DEDUP.replace("items", "{c}")
-_CHUNKED = (
-    f"WITH msgs AS ({oracles.with_('events', 10)['msgs']}), split AS ({oracles.with_('events', 10)['split']}), "
-    "old AS (SELECT conv_id * 1000 + (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 15 AS conv_id, turn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old), "
-    + ", ".join(f'"{k}" AS ({v})' for k, v in oracles.with_("events", 10).items() if k in ("cut", "lines", "classified", "facts", "ranked"))
-    + ", chunks AS (SELECT conv_id // 1000 AS conv_id, conv_id % 1000 AS chunk_id, CASE WHEN conv_id % 2 = 1 THEN 'chunk ' || conv_id ELSE '' END AS project, "
+_STRUCTS = lambda c: f"list_transform({c}, lambda y: {{'s': y, 'w': {WORDS.replace('X', 'y')}}})"
+_JOINED, _LAST = ("decisions", "completed", "open_questions"), ("in_progress", "preferences")
+_NUMBER = "(conv_id.c * 1000 + conv_id.k)"
+# As in chunk_facts, conversation and chunk are one key, a struct, for the steps between.
+_CHAIN = oracles.with_("events", 10) | {
+    "old": "SELECT {'c': conv_id, 'k': (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 15} AS conv_id, turn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old",
+    "chunks": f"SELECT conv_id.c AS conv_id, conv_id.k AS chunk_id, CASE WHEN {_NUMBER} % 2 = 1 THEN 'chunk ' || {_NUMBER} ELSE '' END AS project, "
     + ", ".join(f"coalesce(list(fact ORDER BY rank) FILTER (bucket = '{b}'), []) AS {b}" for b in L.BUCKETS)
-    + " FROM ranked GROUP BY ranked.conv_id), "
-    + "merged AS (SELECT conv_id, count(*) AS n, coalesce(nullif(max_by(project, chunk_id), ''), min_by(project, chunk_id) FILTER (project <> ''), '') AS project, "
-    + ", ".join(f"flatten(list({b} ORDER BY chunk_id)) AS {b}" for b in ("decisions", "completed", "open_questions"))
-    + ", max_by(in_progress, chunk_id) AS in_progress, max_by(preferences, chunk_id) AS preferences FROM chunks GROUP BY conv_id) "
-    + "SELECT conv_id, project, "
-    + ", ".join(f"array_to_string(CASE WHEN n > 1 THEN {_FOLD.replace('{c}', b)} ELSE {b} END, ' | ') AS {b}" for b in ("decisions", "completed", "open_questions"))
-    + ", array_to_string(in_progress, ' | ') AS in_progress, array_to_string(preferences, ' | ') AS preferences FROM merged"
+    + " FROM ranked GROUP BY ranked.conv_id",
+    "merged": "SELECT conv_id, count(*) AS n, coalesce(nullif(max_by(project, chunk_id), ''), min_by(project, chunk_id) FILTER (project <> ''), '') AS project, "
+    + ", ".join(f"flatten(list({b} ORDER BY chunk_id)) AS {b}" for b in _JOINED)
+    + ", "
+    + ", ".join(f"max_by({b}, chunk_id) AS {b}" for b in _LAST)
+    + " FROM chunks GROUP BY conv_id",
+    "structs": "SELECT conv_id, n, project, " + ", ".join(f"{b}, {_STRUCTS(b)} AS s_{b}" for b in _JOINED) + f", {', '.join(_LAST)} FROM merged",
+}
+_CHUNKED = (
+    "WITH "
+    + ", ".join(f'"{k}" AS ({_CHAIN[k]})' for k in ("msgs", "split", "old", "cut", "lines", "classified", "facts", "ranked", "chunks", "merged", "structs"))
+    + " SELECT conv_id, project, "
+    + ", ".join(f"array_to_string(CASE WHEN n > 1 THEN {fold_sql('s_' + b)} ELSE {b} END, ' | ') AS {b}" for b in _JOINED)
+    + ", "
+    + ", ".join(f"array_to_string({b}, ' | ') AS {b}" for b in _LAST)
+    + " FROM structs"
 )
 QUERIES["merge_summaries"] = lambda spark, sf_dir: text_of(merge.merge_summaries(chunk_facts(spark, sf_dir)), *WIDE)
 ORACLES["merge_summaries"] = _CHUNKED
@@ -176,7 +200,10 @@ _READ = f"SELECT event_id, reply, ok, CASE WHEN NOT ok THEN '{parse.PLACEHOLDER}
 _DROP = lambda c: f"list_filter({c}, lambda a: len(list_filter(completed, lambda b: {_THREE})) = 0)"
 ORACLES["parse_response"] = f"SELECT event_id, project, array_to_string({_DROP('decisions')}, ' | ') AS decisions, array_to_string(completed, ' | ') AS completed, array_to_string({_DROP('in_progress')}, ' | ') AS in_progress, array_to_string(preferences, ' | ') AS preferences, array_to_string(open_questions, ' | ') AS open_questions, CASE WHEN NOT ok THEN reply END AS raw FROM ({_READ})"
 QUERIES["cross_field_dedup"] = lambda spark, sf_dir: sentence_lists(spark, sf_dir).select("doc_id", F.array_join(parse.without_done(F.slice("items", F.lit(4), F.greatest(F.size("items"), F.lit(0))), F.slice("items", 1, 3)), " | ").alias("kept"))
-ORACLES["cross_field_dedup"] = f"SELECT doc_id, array_to_string({_DROP('rest')}, ' | ') AS kept FROM (SELECT doc_id, items[4:12] AS rest, items[1:3] AS completed FROM ({SENTENCES}))"
+ORACLES["cross_field_dedup"] = (
+    "SELECT doc_id, array_to_string(list_transform(list_filter(items[4:], lambda a: len(list_filter(items[1:3], lambda b: len(list_intersect(a.w, b.w)) >= 3)) = 0), lambda a: a.s), ' | ') AS kept "
+    f"FROM ({SENTENCES})"
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
