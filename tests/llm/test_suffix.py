@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from recollect.llm.suffix import anchors, deduplicate, merge, repeated, transform
+from recollect.llm.suffix import anchors, deduplicate, gram_of, merge, reads, repeated, transform
 
 SCHEMA = "doc_id long, text string, kind int, th string"
 
@@ -65,6 +65,7 @@ def test_against_brute_force(spark, seed):
     r.shuffle(ids)
     rows = list(zip(ids, texts, strict=True))
     assert run(spark, rows, bucket_bytes=4000, task_bytes=5000) == brute(rows)
+    assert run(spark, rows, bucket_bytes=4000, task_bytes=5000, many=2) == brute(rows)
 
 
 def test_repeated_and_null_ids(spark):
@@ -102,8 +103,33 @@ def test_repeated_stretches():
 
 def test_every_stretch_has_an_anchor():
     raw = np.random.default_rng(5).integers(97, 100, 3000).astype(np.uint8)
-    place, _ = anchors(raw, np.array([0, 1000, 1030, 3000]), 50)
+    place, gram = anchors(raw, np.array([0, 1000, 1030, 3000]), 50), gram_of(50)[0]
     for lo, hi in ((0, 1000), (1030, 3000)):
         for s in range(lo, hi - 49):
-            assert ((place >= s) & (place + 24 <= s + 50)).any()
-    assert not ((place > 1000 - 24) & (place < 1030)).any()
+            assert ((place >= s) & (place + gram <= s + 50)).any()
+    assert not ((place > 1000 - gram) & (place < 1030)).any()
+
+
+def test_equal_reads_have_equal_hashes():
+    r = np.random.default_rng(6)
+    core = r.integers(0, 255, 200).astype(np.uint8)
+    got = []
+    for before in (0, 17, 400):
+        b = np.concatenate([r.integers(0, 255, before).astype(np.uint8), core, r.integers(0, 255, 30).astype(np.uint8)])
+        place = anchors(b, np.array([0, len(b)]), 50)
+        a, f = reads(b, np.array([0, len(b)]), place, 50)
+        inner = (place >= before + 50) & (place < before + 120)
+        got.append(sorted(zip((place[inner] - before).tolist(), a[inner].tolist(), f[inner].tolist(), strict=True)))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_hot_anchor(spark):
+    """A phrase in many different surroundings, most of its reads different, and a very long text."""
+    r = random.Random(8)
+    phrase = "this very phrase stands in a great many documents of all kinds"
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(9))
+    rows = [(i, f"{word()} {word()} {word()} {phrase} {word()} {word()}") for i in range(3000)]
+    rows.append((5000, " ".join(word() for _ in range(100_000)) + rows[7][1]))
+    want = brute(rows[:-1])
+    got = run(spark, rows, bucket_bytes=60_000, many=50)
+    assert got[:-1] == want and got[-1][2] == len(rows[7][1])
