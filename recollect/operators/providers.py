@@ -20,7 +20,7 @@ GEMINI_URL = "https://generativelanguage.googleapis.com/v1beta/models/{model}:ge
 OLLAMA_URL = "http://localhost:11434"
 TEMPERATURE, MOST_TOKENS = 0.1, 1000
 #: How the user turn of a request begins.
-LEAD = "Compress this conversation:\n\n"
+LEAD = "Conversation to condense:\n\n"
 REPLY = "text string, tokens_used long, error string"
 
 

@@ -27,3 +27,8 @@ PARAGRAPH_PROMPT = "Condense the conversation into one factual paragraph of at m
 
 def system_prompt(style: str) -> str:
     return {"structured": STRUCTURED_PROMPT, "paragraph": PARAGRAPH_PROMPT}[style]
+
+
+def enhance_request(block: Column, transcript: Column) -> Column:
+    """What the model is given to improve a draft."""
+    return F.concat(F.lit("Draft:\n"), block, F.lit("\n\nMessages:\n"), transcript)

@@ -78,18 +78,18 @@ def with_(source: str, keep: int) -> dict[str, str]:
     part = lambda b: f"CASE WHEN {b} <> '' THEN chr(10) || {q(L.LABELS[b] + ': ')} || {b} ELSE '' END"
     return {
         "msgs": "SELECT conv_id, turn, role, text AS content FROM conversations" if source == "conversations" else event_messages.sql("events"),
-        "split": f"SELECT *, n > {keep} AND rn <= n - {keep} AS is_old FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM msgs)",
-        "old": "SELECT conv_id, turn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old",
-        "cut": f"SELECT conv_id, turn, role, c, list_filter(list_transform(string_split_regex(regexp_replace(c, '\\.([a-zA-Z0-9_-])', '___DOT___\\1', 'g'), '[.\\n!]+'), lambda x: {trim('''replace(x, '___DOT___', '.')''')}), lambda x: {units('x')} >= {L.MIN_LINE}) AS l FROM (SELECT *, {trim('content')} AS c FROM old) WHERE c <> ''",
-        "lines": "SELECT conv_id, turn, role, unnest(generate_series(0, len(ls) - 1)) AS line_no, unnest(ls) AS line FROM (SELECT *, CASE WHEN len(l) > 0 THEN l ELSE [c] END AS ls FROM cut)",
-        "classified": f"SELECT * FROM (SELECT conv_id, turn, line_no, {bucket('line')} AS bucket, substr(line, 1, {L.CUT_LINE}) AS fact FROM lines) WHERE bucket IS NOT NULL",
-        "facts": "SELECT conv_id, bucket, fact, min(turn * 1000000 + line_no) AS pos FROM classified GROUP BY ALL",
+        "split": f"SELECT *, n > {keep} AND rn <= n - {keep} AS is_old FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, content NULLS FIRST) AS rn FROM msgs)",
+        "old": "SELECT conv_id, turn, rn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old",
+        "cut": f"SELECT conv_id, turn, rn, role, c, list_filter(list_transform(string_split_regex(regexp_replace(c, '\\.([a-zA-Z0-9_-])', '___DOT___\\1', 'g'), '[.\\n!]+'), lambda x: {trim('''replace(x, '___DOT___', '.')''')}), lambda x: {units('x')} >= {L.MIN_LINE}) AS l FROM (SELECT *, {trim('content')} AS c FROM old) WHERE c <> ''",
+        "lines": "SELECT conv_id, turn, rn, role, unnest(generate_series(0, len(ls) - 1)) AS line_no, unnest(ls) AS line FROM (SELECT *, CASE WHEN len(l) > 0 THEN l ELSE [c] END AS ls FROM cut)",
+        "classified": f"SELECT * FROM (SELECT conv_id, turn, rn, line_no, {bucket('line')} AS bucket, substr(line, 1, {L.CUT_LINE}) AS fact FROM lines) WHERE bucket IS NOT NULL",
+        "facts": "SELECT conv_id, bucket, fact, min(turn) AS turn, min(rn * 1000000 + line_no) AS pos FROM classified GROUP BY conv_id, bucket, fact",
         "ranked": f"SELECT *, row_number() OVER (PARTITION BY conv_id, bucket ORDER BY pos) AS rank FROM facts QUALIFY rank <= CASE bucket {caps} END",
-        "users": "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS urn FROM old WHERE role = 'user'",
+        "users": "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rn) AS urn FROM old WHERE role = 'user'",
         "candidates": f"SELECT conv_id, urn, {named(CALLED, 2)} AS called, CASE WHEN lower({building}) NOT IN ('a', 'an', 'the') THEN {building} END AS building, {named(SCOPED, 1)} AS scoped FROM users WHERE urn <= {L.FIRST_USERS}",
         "project_fallback": f"SELECT conv_id, CASE WHEN {units('s')} >= {L.MIN_LINE} THEN {trim(f'''regexp_replace(substr(s, 1, {L.MAX_PROJECT}), '[?!]', '', 'g')''')} ELSE 'Not identified' END AS fallback FROM (SELECT conv_id, {fallback_sentence} AS s FROM users WHERE urn = 1)",
         "projects": "SELECT conv_id, coalesce(min_by(called, urn) FILTER (called IS NOT NULL), min_by(building, urn) FILTER (building IS NOT NULL), min_by(scoped, urn) FILTER (scoped IS NOT NULL), max(fallback)) AS project FROM candidates LEFT JOIN project_fallback USING (conv_id) GROUP BY conv_id",
-        "few": f"SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM (SELECT conv_id, turn, {few} AS s FROM users) WHERE {units('s')} BETWEEN {L.MIN_LINE} AND {L.MAX_LINE} QUALIFY r <= {L.FALLBACK_ITEMS}",
+        "few": f"SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY rn) AS r FROM (SELECT conv_id, rn, {few} AS s FROM users) WHERE {units('s')} BETWEEN {L.MIN_LINE} AND {L.MAX_LINE} QUALIFY r <= {L.FALLBACK_ITEMS}",
         "counts": "SELECT o.conv_id, o.n_old, coalesce(f.n, 0) AS n_facts FROM (SELECT conv_id, count(*) AS n_old FROM old GROUP BY conv_id) o LEFT JOIN (SELECT conv_id, count(*) AS n FROM ranked WHERE bucket <> 'preferences' GROUP BY conv_id) f USING (conv_id)",
         "extra": f"SELECT conv_id, fact, row_number() OVER (PARTITION BY conv_id ORDER BY p) AS rank FROM (SELECT conv_id, fact, min(p) AS p FROM (SELECT conv_id, fact, rank AS p FROM ranked WHERE bucket = 'in_progress' UNION ALL SELECT conv_id, s, 1000 + r FROM few) JOIN counts USING (conv_id) WHERE n_facts < 3 AND n_old > 10 GROUP BY conv_id, fact) QUALIFY rank <= {L.FALLBACK_ITEMS}",
         "final": "SELECT conv_id, bucket, fact, rank FROM ranked LEFT JOIN counts USING (conv_id) WHERE bucket <> 'in_progress' OR NOT (n_facts < 3 AND n_old > 10) UNION ALL SELECT conv_id, 'in_progress', fact, rank FROM extra",

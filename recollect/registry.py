@@ -57,7 +57,7 @@ over_both("keyword_flags", lambda o: lines_of(o).select("conv_id", "turn", F.col
 over_both("greeting_flags", lambda o: lines_of(o).select("conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), T.greeting_like(F.col("line")).alias("greeting"), T.real_question(F.col("line"), F.col("role")).alias("real_question"), T.unresolved(F.col("line"), F.col("role")).alias("unresolved")), f"SELECT conv_id, turn, line_no, {oracles.greeting('line')} AS greeting, {oracles.real('line', L.QUESTION_WORDS)} AS real_question, {oracles.real('line', L.UNRESOLVED)} AS unresolved FROM lines")
 over_both("classify_lines", lambda o: extract.classify(lines_of(o)).select("conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), "bucket", "fact"), "SELECT conv_id, turn, line_no, bucket, fact FROM classified")
 over_both("bucket_counts", lambda o: extract.classify(lines_of(o)).groupBy("bucket").agg(F.count("*").alias("n")), "SELECT bucket, count(*) AS n FROM classified GROUP BY bucket")
-over_both("bucket_dedup", lambda o: extract.distinct_facts(extract.classify(lines_of(o))).select("conv_id", "bucket", "fact", F.col("pos.turn").alias("turn")), "SELECT conv_id, bucket, fact, pos // 1000000 AS turn FROM facts")
+over_both("bucket_dedup", lambda o: extract.distinct_facts(extract.classify(lines_of(o))).select("conv_id", "bucket", "fact", F.col("pos.turn").alias("turn")), "SELECT conv_id, bucket, fact, turn FROM facts")
 over_both("bucket_topk", lambda o: facts(o).select("conv_id", "bucket", F.col("rank").cast("long").alias("rank"), "fact"), "SELECT conv_id, bucket, rank, fact FROM ranked")
 for _name in ("called", "building", "scoped"):
     over_both(f"project_{_name}", lambda o, c=_name: extract.project_candidates(extract.user_messages(o)).where(F.col(c).isNotNull()).select("conv_id", F.col("urn").cast("long").alias("urn"), F.col(c).alias("name")), f"SELECT conv_id, urn, {_name} AS name FROM candidates WHERE {_name} IS NOT NULL")
@@ -65,9 +65,9 @@ over_both("project_fallback", lambda o: extract.user_messages(o).where("urn = 1"
 over_both("project_name", extract.projects, "SELECT conv_id, project FROM projects")
 over_both("fallback_facts", lambda o: text_of(extract.fallback_facts(o), "fallback"), "SELECT conv_id, string_agg(s, ' | ' ORDER BY r) AS fallback FROM few GROUP BY conv_id")
 over_both("summary_wide", lambda o: text_of(extract.summaries(o), *WIDE), f"SELECT conv_id, {', '.join(WIDE)} FROM wide")
-over_both("prompt_block", lambda s: compaction.token_free(s).select("conv_id", "prompt_block"), "SELECT conv_id, prompt_block FROM blocks", old=False)
-over_both("chunk_assign", lambda o: window.with_chunks(o, 15).select("conv_id", "turn", "chunk_id"), "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 15 AS chunk_id FROM old")
-over_both("transcript", lambda o: window.transcripts(o, "conv_id"), "SELECT conv_id, string_agg(upper(role) || ': ' || content, chr(10) || chr(10) ORDER BY turn) AS transcript FROM old GROUP BY conv_id")
+over_both("prompt_block", lambda s: compaction.token_free(s).where("n_old > 0").select("conv_id", "prompt_block"), "SELECT conv_id, prompt_block FROM blocks", old=False)
+over_both("chunk_assign", lambda o: window.with_chunks(o, 15).select("conv_id", "turn", "chunk_id"), "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY rn) - 1) // 15 AS chunk_id FROM old")
+over_both("transcript", lambda o: window.transcripts(o, "conv_id"), "SELECT conv_id, string_agg(upper(role) || ': ' || content, chr(10) || chr(10) ORDER BY rn) AS transcript FROM old GROUP BY conv_id")
 WORDS = f"list_distinct(list_filter(string_split_regex(regexp_replace(lower(X), '[^a-z0-9{oracles.WS}]', '', 'g'), '[{oracles.WS}]+'), lambda w: length(w) >= 3))"
 over_both("word_tokens", lambda o: o.select("conv_id", "turn", F.array_join(F.array_sort(T.word_set(F.col("content"))), " ").alias("words")), f"SELECT conv_id, turn, coalesce(array_to_string(list_sort({WORDS.replace('X', 'content')}), ' '), '') AS words FROM old")
 over_both("paragraph_block", lambda o: o.select("conv_id", "turn", render.paragraph_block(T.trim(F.col("content"))).alias("block")), f"SELECT conv_id, turn, {oracles.q(L.HEADER)} || chr(10) || {oracles.trim('content')} || chr(10) || {oracles.q(L.FOOTER)} AS block FROM old")
@@ -157,7 +157,7 @@ _JOINED, _LAST = ("decisions", "completed", "open_questions"), ("in_progress", "
 _NUMBER = "(conv_id.c * 1000 + conv_id.k)"
 # As in chunk_facts, conversation and chunk are one key, a struct, for the steps between.
 _CHAIN = oracles.with_("events", 10) | {
-    "old": "SELECT {'c': conv_id, 'k': (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 15} AS conv_id, turn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old",
+    "old": "SELECT {'c': conv_id, 'k': (row_number() OVER (PARTITION BY conv_id ORDER BY rn) - 1) // 15} AS conv_id, turn, rn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old",
     "chunks": f"SELECT conv_id.c AS conv_id, conv_id.k AS chunk_id, CASE WHEN {_NUMBER} % 2 = 1 THEN 'chunk ' || {_NUMBER} ELSE '' END AS project, "
     + ", ".join(f"coalesce(list(fact ORDER BY rank) FILTER (bucket = '{b}'), []) AS {b}" for b in L.BUCKETS)
     + " FROM ranked GROUP BY ranked.conv_id",
