@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +12,55 @@ from recollect.functions import lexicon as L
 from recollect.functions import text as T
 
 
-def overlap_dedup(items: Column, least: int = 2) -> Column:
-    """Fold from the left: an item that shares `least` words with a kept one replaces the first such if it is longer,
-    else goes; others are kept. Word sets are computed once an item."""
-    pairs = F.transform(items, lambda x: F.struct(x.alias("item"), T.word_set(x).alias("words")))
-    overlaps = lambda a, c: F.size(F.array_intersect(a.words, c.words)) >= least
-    start = F.slice(pairs, 1, 0)
+_BLANK, _OTHER = str.maketrans(dict.fromkeys(T.BLANKS, " ")), re.compile("[^a-z0-9 ]")
+
+
+def word_set(item: str) -> set[str]:
+    """As functions.text.word_set."""
+    return {w for w in _OTHER.sub("", item.lower().translate(_BLANK)).split(" ") if len(w) >= 3}
+
 
-    def step(kept: Column, c: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda k: overlaps(k, c)), True)
+def units(item: str) -> int:
+    return len(item.encode("utf-16-le", "surrogatepass")) // 2
 
-        def placed(at: Column) -> Column:
-            swapped = F.transform(kept, lambda k, i: F.when((i == at - 1) & (T.units(c.item) > T.units(k.item)), c).otherwise(k))
-            return F.when(at > 0, swapped).otherwise(F.concat(kept, F.array(c)))
 
-        # In an array of one the position is computed once an item, not once a kept one.
-        return F.transform(F.array(at), placed)[0]
+def fold(items: list[str | None], least: int) -> list[str | None]:
+    """The items kept. A word's holders among the kept ones are the bits of a number, so that an item is compared with
+    all of them by a few operations a word."""
+    kept: list[tuple[str | None, set[str]]] = []
+    holders: dict[str, int] = {}
+    for item in items:
+        own = word_set(item or "")
+        shared = [0] * (least + 1)  # bits of those that hold n of the words seen so far
+        for held in (holders.get(w, 0) for w in own):
+            for n in range(least, 1, -1):
+                shared[n] |= shared[n - 1] & held
+            shared[1] |= held
+        first = shared[least] & -shared[least]
+        if not first:
+            at = len(kept)
+            kept.append((item, own))
+        elif units(item or "") > units(kept[at := first.bit_length() - 1][0] or ""):
+            for w in kept[at][1]:
+                holders[w] &= ~first
+            kept[at] = (item, own)
+        else:
+            continue
+        for w in own:
+            holders[w] = holders.get(w, 0) | 1 << at
+    return [item for item, _ in kept]
+
+
+def overlap_dedup(items: Column, least: int = 2) -> Column:
+    """Fold from the left: an item that shares `least` words with a kept one replaces the first such if it is longer,
+    else goes; others are kept. Every step depends on all before it, so the fold is an Arrow function a batch of lists:
+    as a Column expression it compares each item with every kept one. A null list stays null; null items share nothing."""
+
+    @F.arrow_udf("array<string>")
+    def folded(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else fold(x, least) for x in lists.to_pylist()], pa.list_(pa.string()))
 
-    return F.transform(F.aggregate(pairs, start, step), lambda k: k.item)
+    return folded(items)
 
 
 def merge_summaries(chunks: DataFrame) -> DataFrame:
