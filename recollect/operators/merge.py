@@ -12,12 +12,12 @@ from recollect.functions import lexicon as L
 from recollect.functions import text as T
 
 
-_BLANK, _OTHER = str.maketrans(dict.fromkeys(T.BLANKS, " ")), re.compile("[^a-z0-9 ]")
+_OTHER = re.compile(f"[^a-z0-9{T.BLANKS}]+")
 
 
 def word_set(item: str) -> set[str]:
     """As functions.text.word_set."""
-    return {w for w in _OTHER.sub("", item.lower().translate(_BLANK)).split(" ") if len(w) >= 3}
+    return {w for w in _OTHER.sub("", item.lower()).replace("\ufeff", " ").split() if len(w) >= 3}
 
 
 def units(item: str) -> int:
