@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+from collections.abc import Iterator
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for operators that persist)
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where it is unset."""
+    """The folder all executors share, as the session names it. A local session may do without: it gets a folder of the
+    machine. On a cluster that would be one folder a machine, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    made = os.path.join(tempfile.gettempdir(), "recollect-checkpoints")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="recollect-checkpoints-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
@@ -39,16 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files whose plans are no longer referenced (after a cut). The second round finds what
-    the first one's finalizers have let go."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def by_bytes(batch: pa.RecordBatch, text: int, most: int = 4 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and about `most` bytes in the column `text`, a row at least."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
+    block = np.cumsum(size) // most
+    start = 0
+    for end in (*(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows):
+        for s in range(start, end, rows):
+            yield batch.slice(s, min(rows, end - s))
+        start = end
 
 
 def n_words(text: Column) -> Column:

@@ -3,12 +3,14 @@
 1. Every document becomes a set of hashed word shingles, and that 128 minima of universal hashes. Documents with equal
    sets are one class from here on; only a class's smallest id goes further.
 2. Banding puts classes that agree on four minima into one bucket. In each bucket all members meet one centre, the
-   member of least hash, so a group of near copies costs a row a member and not a row a pair.
+   member of least hash, so a group of near copies costs a row a member and not a row a pair. Only ids travel; the few
+   centres with very many members are listed in a table of proven size, and their joins are dealt out by member too.
 3. A pair must agree on enough of its signature (two bits a minimum are carried), then its full sets are compared.
 4. Components of the verified links come from alternating large-star and small-star.
 5. Whatever the stars missed lies between members of one bucket, so between members of one centre, in different
-   components. Those are compared in tiles of bounded size, by signature and then by full sets, and only links that
-   join components leave a tile. No such link is left out, and links within a component change nothing.
+   components. Those are compared in tiles of bounded size: by signature first, and members that agree with any go on
+   to the comparison of full sets. Only links that join components leave a tile. No such link is left out, and links
+   within a component change nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import cut, free
+from recollect.llm.common import by_bytes, cut
 
 MINIMA, ROWS = 128, 4
 SPACE = np.zeros(256, bool)
@@ -114,8 +116,7 @@ def profile(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 128):
-                part = b.slice(s, 128)
+            for part in by_bytes(b, 1, rows=128):
                 n, k1, k2, band, sk = [], [], [], [], []
                 for words in word_hashes([t or "" for t in part.column(1).to_pylist()]):
                     x = shingle_set(words, size)
@@ -134,15 +135,37 @@ def profile(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PROFILE)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * shared >= percent * joint. texts: id, text; of several
-    texts of one id any may give the link."""
+class Hot:
+    """Centres of more than `bound` members, with the number of parts that their rows are dealt out to.
+
+    A document is in at most MINIMA / ROWS buckets, so with bound >= 32 * documents / MOST there are at most MOST such
+    centres, and the table may be broadcast at any size of the input."""
+
+    MOST = 50_000
+
+    def __init__(self, stars: DataFrame, documents: int, least: int = 1000):
+        bound = max(least, -(-(MINIMA // ROWS) * documents // self.MOST))
+        self.table = cut(stars.groupBy(F.col("a").alias("hot")).agg(F.ceil(F.count("*") / bound).cast("int").alias("parts")).where("parts > 1"))
+
+    def member(self, df: DataFrame, centre: str, member: str) -> DataFrame:
+        """df with part, that of the row's member."""
+        df = df.join(F.broadcast(self.table), F.col(centre) == F.col("hot"), "left").drop("hot")
+        return df.withColumn("part", F.pmod(F.xxhash64(member), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+    def centre(self, df: DataFrame, centre: str) -> DataFrame:
+        """df, a row a centre, with a row for each part."""
+        df = df.join(F.broadcast(self.table), F.col(centre) == F.col("hot"), "left").drop("hot")
+        return df.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of (a, b, ta, tb) whose full sets have 100 * shared >= percent * joint. An id may have several
+    texts: any may give the link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, np.zeros(0, np.uint64)
         for b in batches:
-            for s in range(0, b.num_rows, 64):
-                part = b.slice(s, 64)
+            for part in by_bytes(b, 3, rows=64):
                 ids = part.column(0).to_pylist()
                 sets = [shingle_set(w, size) for w in word_hashes([t or "" for t in part.column(3).to_pylist()])]
                 keep = []
@@ -153,8 +176,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     keep.append(100 * shared >= percent * (len(held) + len(sets[i]) - shared))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,17 +224,23 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wanted: np.nd
     return out
 
 
-def within(group: pa.Table, size: int, percent: int, least: int) -> pa.Table:
-    """Links (a, b) between different roots of one pair of tiles, as many as join what is linked and no more."""
-    ids, roots, own = (group.column(c).to_numpy() for c in ("id", "root", "t"))
-    sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(ids), -1)
+def alike(group: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one pair of tiles: rows of either tile that agree with one of another root, and which agree with which."""
+    roots, own = group.column("root").to_numpy(), group.column("t").to_numpy()
+    sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(roots), -1)
     left, right = np.flatnonzero(own == group.column("i")[0].as_py()), np.flatnonzero(own == group.column("j")[0].as_py())
     like = np.zeros((len(left), len(right)), bool)
     for s in range(0, len(left), 64):
         rows = left[s : s + 64]
         like[s : s + 64] = (agreement(sk[rows][:, None], sk[right][None]) >= least) & (roots[rows][:, None] != roots[right][None])
     keep, also = like.any(1), like.any(0)
-    left, right, like = left[keep], right[also], like[keep][:, also]
+    return left[keep], right[also], like[keep][:, also]
+
+
+def within(group: pa.Table, size: int, percent: int, least: int) -> pa.Table:
+    """Links (a, b) between different roots of one pair of tiles, as many as join what is linked and no more."""
+    ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
+    left, right, like = alike(group, least)
     found: list[tuple[int, int]] = []
     if like.any():
         used = np.union1d(left, right)
@@ -236,16 +264,30 @@ def within(group: pa.Table, size: int, percent: int, least: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def leftovers(members: DataFrame, texts: DataFrame, size: int, percent: int, least: int, tile: int) -> DataFrame:
+CELL = "centre long, i int, j int, id long, root long, t int, sk binary"
+
+
+def leftovers(members: DataFrame, hot: Hot, texts: DataFrame, size: int, percent: int, least: int, tile: int) -> DataFrame:
     """Links between members of different roots around one centre. members: centre, id, root, sk, n.
 
     A centre's members are cut in tiles of about `tile` documents and 600 shingles each on average; each pair of tiles
-    is one group, so no task holds more than two of them, and pairs that are not linked never leave it."""
+    is one group, so no task holds more than two of them, and pairs that are not linked never leave it. A member meets
+    every tile by its sketch of 32 bytes, so m members make m * m / tile such rows; texts follow only for members that
+    agree with one of another root."""
     weight = F.greatest(F.count("*") / tile, F.sum("n") / (600 * tile))
-    apart = members.groupBy("centre").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(weight).cast("int").alias("parts")).where("r0 <> r1").select("centre", "parts")
-    cells = members.join(apart, "centre").withColumn("t", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("centre", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "root", "t", "sk").join(texts, "id")
-    return cells.groupBy("centre", "i", "j").applyInArrow(lambda g: within(g, size, percent, least), "a long, b long").distinct()
+    apart = members.groupBy("centre").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(weight).cast("int").alias("tiles")).where("r0 <> r1").select("centre", "tiles")
+    cells = hot.member(members, "centre", "id").join(hot.centre(apart, "centre"), ["centre", "part"])
+    cells = cells.withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cells = cells.select("centre", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "id", "root", "t", "sk")
+
+    def agreeing(group: pa.Table) -> pa.Table:
+        left, right, _ = alike(group, least)
+        return group.take(pa.array(np.union1d(left, right)))
+
+    wanted = cut(cells.groupBy("centre", "i", "j").applyInArrow(agreeing, CELL))
+    if wanted.isEmpty():
+        return wanted.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return wanted.join(texts, "id").select("centre", "i", "j", "id", "root", "t", "sk", "text").groupBy("centre", "i", "j").applyInArrow(lambda g: within(g, size, percent, least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", tile: int = 2000) -> DataFrame:
@@ -255,30 +297,33 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     component_id is the smallest id reachable, kept tells whether it is the row's own. A text without words, or null,
     has an empty set and is linked with nothing. Rows repeated under one id are one document with the links of all.
     A null id takes no part: component_id null, kept true. An empty table gives no rows; other columns are not read.
+    Very long texts are worked on whole, one at a time.
     """
     rows = cut(profile(docs, words, id_col, text_col))
     classes = cut(rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sk").alias("sk")))
-    member = classes.select("id", "sk", F.explode("bands").alias("h"))
-    centres = member.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id", "sk")).alias("c"), F.count("*").alias("total")).where("total > 1").drop("total")
-    shared = member.join(centres, "h").select("id", "sk", F.col("c.id").alias("centre"), F.col("c.sk").alias("csk"))
+    member = classes.select("id", F.explode("bands").alias("h"))
+    centres = member.groupBy("h").agg(F.min(F.struct(F.xxhash64("id").alias("o"), "id")).alias("c"), F.count("*").alias("total")).where("total > 1").select("h", F.col("c.id").alias("centre"))
+    stars = cut(member.join(centres, "h").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    hot = Hot(stars, classes.count())
     least = least_agreement(percent)
-    stars = shared.where("id <> centre").groupBy(F.col("centre").alias("a"), F.col("id").alias("b")).agg(F.first("sk").alias("sk"), F.first("csk").alias("csk"))
-    stars = cut(stars)
-    free(docs.sparkSession)
+    sketches = classes.select("id", "sk")
+    both = hot.member(stars, "a", "b").join(sketches.select(F.col("id").alias("b"), "sk"), "b").join(hot.centre(sketches.select(F.col("id").alias("a"), F.col("sk").alias("csk")), "a"), ["a", "part"])
     x = [F.conv(F.hex(F.substring(c, 1 + 8 * i, 8)), 16, -10).cast("long") for c in ("sk", "csk") for i in range(4)]
     differ = [x[i].bitwiseXOR(x[4 + i]) for i in range(4)]
     agree = MINIMA - F.bit_count(differ[0].bitwiseOR(differ[2])) - F.bit_count(differ[1].bitwiseOR(differ[3]))
-    tested = stars.where(agree >= least).select("a", "b")
+    tested = cut(both.where(agree >= least).select("a", "b", "part"))
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    links = cut(verified(tested, texts, words, percent))
-    free(docs.sparkSession)
+    # The texts are dealt out by id once, for members and centres; those of the centres go on to their parts.
+    centre_texts = tested.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.col("text").alias("ta"))
+    member_texts = tested.join(texts, F.col("b") == F.col("id")).select("a", "b", "part", F.col("text").alias("tb"))
+    pairs = member_texts.join(centre_texts, ["a", "part"])
+    links = cut(verified(pairs, words, percent))
     same = rows.where("n > 0 AND id IS NOT NULL").join(classes.select("k1", "k2", F.col("id").alias("rep")), ["k1", "k2"]).select("id", "rep")
     roots = components(links)
     # All members of a centre's buckets, tested against it or not: a link a star missed joins two of them.
-    members = stars.select(F.col("a").alias("centre"), F.col("b").alias("id"), "sk").join(roots, "id", "left").join(classes.select("id", "n"), "id").select("centre", "id", "sk", "n", F.coalesce("root", "id").alias("root"))
-    more = cut(leftovers(members, texts, words, percent, least, tile))
-    free(docs.sparkSession)
+    members = stars.select(F.col("a").alias("centre"), F.col("b").alias("id")).join(roots, "id", "left").join(classes.select("id", "n", "sk"), "id").select("centre", "id", "sk", "n", F.coalesce("root", "id").alias("root"))
+    more = cut(leftovers(members, hot, texts, words, percent, least, tile))
     if not more.isEmpty():
         roots = components(links.union(more))
     linked = same.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
@@ -292,9 +337,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-
 def without_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies, that of the smallest id; null ids and other rows stay."""
+    """docs with one row of each group of near copies, that of the smallest id; null ids and other rows stay. Of rows
+    repeated under one id one stays. An empty table stays empty."""
     found = near_duplicates(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
     gone = found.where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
     left = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
