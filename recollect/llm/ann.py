@@ -5,20 +5,22 @@ are rotated at random. Lists are k-means cells fitted on a bounded sample; every
 block of vectors, block of queries) is one group of bounded size, however full a list is. A group holds its vectors
 by columns: dimensions are added a block at a time, and after each block a candidate is abandoned for a query if its
 partial distance exceeds what a candidate within the query's bound could show by chance (hypothesis test of random
-projections). The bound of a query comes from sample vectors in its probed lists. Survivors are scored exactly.
+projections). The bound of a query comes from sample vectors in its probed lists and then, within a
+group, from the best found so far. Survivors are scored exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.llm.common import cut
+from recollect.llm.common import cut, sent_once
 
 #: Tests: how many standard deviations a partial distance may stay above its share of the bound.
 EPSILON = 1.9
@@ -39,7 +41,6 @@ class Index:
     probes: int
     sample: np.ndarray  # rotated
     sample_list: np.ndarray
-    counts: np.ndarray | None = None
 
     def rotate(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         x = x.astype(np.float64)
@@ -60,14 +61,14 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) ->
     return c.astype(np.float32)
 
 
-def fit(sample: np.ndarray, rows: int, top_norm: float, *, k: int, recall: float = 0.96, per_list: int = 400, most_lists: int = 1024, bound_sample: int = 8000, seed: int = 7) -> Index:
-    """Lists of about per_list vectors, and as many probes as give `recall` for the sample's own vectors as queries."""
+def fit(sample: np.ndarray, rows: int, top_norm: float, *, k: int, recall: float = 0.96, per_list: int = 400, bound_sample: int = 8000, seed: int = 7) -> Index:
+    """Lists of about per_list vectors or, if those are more than an eighth of the sample, so many; and as many probes as give `recall` for the sample's own vectors as queries."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1] + 1
     q, r = np.linalg.qr(rng.standard_normal((dims, dims)))
     index = Index(q * np.sign(np.diag(r)), np.zeros((1, dims), np.float32), top_norm, 1, np.zeros((0, dims), np.float32), np.zeros(0, int))
     rotated = index.rotate(sample)
-    lists = int(max(1, min(most_lists, rows // per_list, len(sample) // 8)))
+    lists = int(max(1, min(rows // per_list, len(sample) // 8)))
     index.centroids = kmeans(rotated, lists, rng) if lists > 1 else index.centroids
     own = index.nearest_lists(rotated).argmin(1)
     index.sample, index.sample_list = rotated[:bound_sample], own[:bound_sample]
@@ -122,54 +123,65 @@ def _pairs(q: np.ndarray, bound: np.ndarray, columns: np.ndarray, i: np.ndarray,
     return i, j
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims)
+def _matrix(column: pa.Array, dims: int, kind: type = np.float32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims)
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, recall: float = 0.96, vectors_a_block: int = 8192, queries_a_block: int = 2048, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for every row where is_query holds, its own id left out.
 
     score is the inner product of the original vectors in double precision; ties go to the smaller vec_id. Vectors
-    that are null, empty, zero, or hold null or non-finite components take no part, nor do those of a length other
-    than the most frequent one, nor null ids. Repeated rows are candidates of their own. With fewer than k candidates
-    all come back. An empty table gives no rows. The index is fitted on about sample_rows vectors; all are indexed.
+    that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Vectors of another
+    length are searched among their like, an index a length. Repeated rows are candidates of their own. With fewer than
+    k candidates all come back. An empty table gives no rows; other columns are not read. An index is fitted on about
+    sample_rows vectors; all are indexed.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), is_query.alias("asks"))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("sq")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], schema)
-    dims, n, top = lengths[0].d, lengths[0].n, float(np.sqrt(lengths[0].sq)) * (1 + 1e-6)
-    rows = rows.where(F.size("v") == dims)
+    exact = "double" if dict(vectors.dtypes)[vector_col] == "array<double>" else "float"
+    rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{exact}>").alias("v"), is_query.alias("asks"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("sq")).orderBy("d").collect()  # a row a length
+    kind = np.float64 if exact == "double" else np.float32
+    found = [_search(rows.where(F.size("v") == r.d), r.d, r.n, float(np.sqrt(r.sq)) * (1 + 1e-6), kind, k, sample_rows, recall, vectors_a_block, queries_a_block, seed) for r in lengths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def _search(rows: DataFrame, dims: int, n: int, top: float, exact: type, k: int, sample_rows: int, recall: float, vectors_a_block: int, queries_a_block: int, seed: int) -> DataFrame:
+    """search over vectors of one length: id, v, asks."""
+    spark = rows.sparkSession
     drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / float(1 << 30) < min(1.0, sample_rows / n)).select("id", "v").toArrow().sort_by("id")
     sample = np.array(drawn.column("v").to_pylist(), np.float32).reshape(-1, dims)
     if not len(sample):
         sample = np.array([r.v for r in rows.select("v").take(100)], np.float32)
     index = fit(sample[:: max(1, len(sample) // (2 * sample_rows))], n, top, k=k, recall=recall, seed=seed)
     lists, wide = len(index.centroids), dims + 1
+    sent = sent_once(spark, index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
-                v = np.array(part.column(1).to_pylist(), np.float32).reshape(-1, dims)
+                v = np.array(part.column(1).to_pylist(), exact).reshape(-1, dims)
                 r = index.rotate(v)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(index.nearest_lists(r).argmin(1).astype(np.int32)), pa.array([x.tobytes() for x in r], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "asks", "lst", "r", "v"])
 
     placed = cut(rows.select("id", "v", "asks").mapInArrow(assign, "id long, asks boolean, lst int, r binary, v binary"))
-    index.counts = np.zeros(lists, int)
+    counts = np.zeros(lists, int)
     for r in placed.groupBy("lst").count().collect():  # a row a list
-        index.counts[r.lst] = r["count"]
+        counts[r.lst] = r["count"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for b in batches:
             for s in range(0, b.num_rows, 200):
                 part = b.slice(s, 200)
-                r = index.rotate(_matrix(part.column(1), dims), query=True)
+                r = index.rotate(_matrix(part.column(1), dims, exact), query=True)
                 order = np.argsort(index.nearest_lists(r), axis=1, kind="stable")
                 # Enough lists for k candidates besides the query itself.
-                probes = np.maximum(index.probes, (np.cumsum(index.counts[order], 1) < k + 1).sum(1) + 1).clip(max=lists)
+                probes = np.maximum(index.probes, (np.cumsum(counts[order], 1) < k + 1).sum(1) + 1).clip(max=lists)
                 probed = np.zeros((len(r), lists), bool)
                 for i, m in enumerate(probes):
                     probed[i, order[i, :m]] = True
@@ -177,17 +189,17 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
                 d[~probed[:, index.sample_list]] = np.inf
                 # The 2k-th of the sample: enough are within the bound even if a test abandons some.
                 bound = np.partition(d, 2 * k, axis=1)[:, 2 * k] if d.shape[1] > 2 * k else np.full(len(r), np.inf)
-                i, lst = np.nonzero(probed & (index.counts > 0)[None])
+                i, lst = np.nonzero(probed & (counts > 0)[None])
                 raw = [x.tobytes() for x in r]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(lst.astype(np.int32)), pa.array(bound[i].astype(np.float32)), pa.array([raw[x] for x in i], pa.binary()), part.column(1).take(pa.array(i))], ["id", "lst", "bound", "r", "v"])
 
     asked = placed.where("asks").select("id", "v").mapInArrow(probe, "id long, lst int, bound float, r binary, v binary")
     asked = cut(asked)
     wanted = {r.lst: r["count"] for r in asked.groupBy("lst").count().collect()}
-    blocks = spark.createDataFrame([(i, -(-max(1, int(index.counts[i])) // vectors_a_block), -(-c // queries_a_block)) for i, c in sorted(wanted.items())] or [(-1, 1, 1)], "lst int, vb int, qb int")
+    blocks = spark.createDataFrame([(i, -(-max(1, int(counts[i])) // vectors_a_block), -(-c // queries_a_block)) for i, c in sorted(wanted.items())] or [(-1, 1, 1)], "lst int, vb int, qb int")
     salt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # blocks has a row a list, most_lists at most.
+    # blocks has a row a list, an eighth of the sample at most.
     left = placed.join(F.broadcast(blocks), "lst").withColumn("vk", salt("vb")).withColumn("qk", every("qb")).select("lst", "vk", "qk", "id", "r", "v")
     right = asked.join(F.broadcast(blocks), "lst").withColumn("qk", salt("qb")).withColumn("vk", every("vb")).select("lst", "vk", "qk", "id", "bound", "r", "v")
 
@@ -195,20 +207,28 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if x.num_rows and y.num_rows:
             ids, qids = x.column("id").to_numpy(), y.column("id").to_numpy()
-            xr, xv = _matrix(x.column("r"), wide), _matrix(x.column("v"), dims).astype(np.float64)
-            yr, yv = _matrix(y.column("r"), wide), _matrix(y.column("v"), dims).astype(np.float64)
-            bound = y.column("bound").to_numpy()
+            xr, xv = _matrix(x.column("r"), wide), _matrix(x.column("v"), dims, exact).astype(np.float64)
+            yr, yv = _matrix(y.column("r"), wide), _matrix(y.column("v"), dims, exact).astype(np.float64)
+            bound, reach = y.column("bound").to_numpy().astype(np.float64), (yr.astype(np.float64) ** 2).sum(1) + top**2
             for s in range(0, len(qids), 256):
-                i, j = scan(yr[s : s + 256], bound[s : s + 256], xr)
-                i = i + s
-                other = qids[i] != ids[j]
-                i, j = i[other], j[other]
-                score = np.concatenate([(yv[i[p : p + 50_000]] * xv[j[p : p + 50_000]]).sum(1) for p in range(0, len(i), 50_000)]) if len(i) else np.zeros(0)
-                best = np.lexsort((ids[j], -score, i))
-                i, j, score = i[best], j[best], score[best]
-                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
-                near = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
-                out.append((qids[i[near]], ids[j[near]], score[near]))
+                i, j, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+                limit = bound[s : s + 256].copy()
+                for c in range(0, len(ids), 2048):
+                    p, q = scan(yr[s : s + 256], limit, xr[c : c + 2048])
+                    p, q = p + s, q + c
+                    other = qids[p] != ids[q]
+                    p, q = p[other], q[other]
+                    new = [(yv[p[a : a + 50_000]] * xv[q[a : a + 50_000]]).sum(1) for a in range(0, len(p), 50_000)]
+                    i, j, score = np.concatenate([i, p]), np.concatenate([j, q]), np.concatenate([score, *new])
+                    best = np.lexsort((ids[j], -score, i))
+                    i, j, score = i[best], j[best], score[best]
+                    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+                    place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                    # Whoever has k already needs no vector beyond the distance of its k-th.
+                    kth = place == k - 1
+                    limit[i[kth] - s] = np.minimum(limit[i[kth] - s], reach[i[kth]] - 2 * score[kth])
+                    i, j, score = i[place < k], j[place < k], score[place < k]
+                out.append((qids[i], ids[j], score))
         q, v, score = (np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3))
         return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(score.astype(float))})
 

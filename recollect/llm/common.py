@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,15 @@ def by_bytes(batch: pa.RecordBatch, text: int, most: int = 4 << 20, rows: int =
         start = end
 
 
+def sent_once(spark: SparkSession, value: object, most: int = 256 << 20) -> Broadcast:
+    """A broadcast of fitted state, whose size must not exceed `most` bytes."""
+    made = spark.sparkContext.broadcast(value)
+    size = os.path.getsize(made._path) if made._path else 0
+    if size > most:
+        raise ValueError(f"fitted state of {size} bytes; at most {most} are broadcast")
+    return made
+
+
 def n_words(text: Column) -> Column:
     """Number of words of the contracts; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

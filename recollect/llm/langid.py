@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import by_bytes, sent_once
+
 ORDER, DISCOUNT, CHUNK = 4, 0.75, 400_000
 LETTER = np.array([chr(c).isalpha() and not 0xD800 <= c < 0xE000 for c in range(1 << 16)])
 UNKNOWN = "und"
@@ -224,8 +226,7 @@ def train(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_co
 
     def tune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
+            for part in by_bytes(b, 1, rows=200):
                 h, m = models.entropy(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(h), pa.list_(pa.float64())), pa.array(m)], ["lang", "h", "m"])
 
@@ -254,13 +255,14 @@ def identify(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_co
 
     A null text or one without a letter is `und`, score 0, rejected, entropy null; so is any text if no language was
     learned. Ties go to the language first by name. Repeated rows stay; an empty table gives no rows; other columns
-    are not read.
+    are not read. Very long texts are judged whole, scored in pieces.
     """
+    sent = sent_once(docs.sparkSession, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            models = sent.value
+            for part in by_bytes(b, 1):
                 texts = part.column(1).to_pylist()
                 lang, score, h, rejected = models.predict(texts if models.langs else [None] * len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(h, from_pandas=True), pa.array(rejected)], ["id", "lang_pred", "score", "entropy", "rejected"])

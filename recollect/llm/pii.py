@@ -55,7 +55,8 @@ def _places(gaps: Column, found: Column) -> Column:
     n = F.size(found)
     both = F.zip_with(F.slice(gaps, 1, n), found, lambda g, m: F.length(g) + F.length(m))
     total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
-    heads = lambda of: F.transform(F.sequence(F.lit(0), F.floor(F.size(of) / BLOCK).cast("int")), lambda b: total(F.slice(of, F.lit(1), b * BLOCK)))
+    sums = lambda of: F.transform(F.sequence(F.lit(0), F.floor(F.size(of) / BLOCK).cast("int")), lambda b: total(F.slice(of, b * BLOCK + 1, F.lit(BLOCK))))
+    heads = lambda of: F.aggregate(sums(of), F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
     block = lambda i: F.floor(i / BLOCK).cast("int")
     starts = lambda of, head: F.transform(gaps, lambda g, i: F.when(i < n, head[block(i)] + total(F.slice(of, block(i) * BLOCK + 1, i % BLOCK)) + F.length(g)))
     return F.when(n > 0, _bound(both, lambda of: _bound(heads(of), lambda head: starts(of, head)))).otherwise(F.array().cast("array<int>"))
@@ -95,10 +96,11 @@ def _shape(kind: str, value: Column) -> Column:
     return F.when(F.length(digits).between(10, 13), 1).when(F.length(digits).between(8, 15), 0).otherwise(-1)
 
 
-def _votes(kind: str, value: Column, before: Column, strict: Column) -> Column:
+def _votes(kind: str, value: Column, before: Column, strict: Column, loose: Column) -> Column:
+    """1, 0 or -1 of each labeler. The strict pattern judges matches of its own form only."""
     near = F.lower(F.substring(before, -40, 40))
     return F.array(
-        F.when(strict, 1).otherwise(-1),
+        F.when(strict, 1).when(loose, 0).otherwise(-1),
         F.when(F.regexp_replace(value, "^[(+]", "").rlike(GAZETTEER[kind]) | value.rlike(GAZETTEER[kind]), 1).otherwise(0),
         F.when(near.rlike(NEAR[kind]), 1).when(near.rlike(AGAINST), -1).otherwise(0),
         _shape(kind, value),
@@ -130,7 +132,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, whole_rows: bool = F
                 loose = F.when(F.length(digits).between(13, 15), _luhn(digits)).otherwise(False)
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), p[i].alias("start"), (p[i] + F.length(value)).alias("end"), strict.alias("base"), loose.alias("free"),
-                _votes(kind, value, g[i], strict).alias("votes"), F.least(F.lit(3), F.floor(F.length(value) / 8)).cast("int").alias("size"),
+                _votes(kind, value, g[i], strict, loose).alias("votes"), F.least(F.lit(3), F.floor(F.length(value) / 8)).cast("int").alias("size"),
             )
 
         return F.transform(m, one)
@@ -203,7 +205,7 @@ def fit(found: DataFrame) -> Model:
     return Model(reliability, list(soft.agg(p.alias("p")).select(F.expr(_logistic(STEPS)).alias("w")).first().w))
 
 
-def find(found: DataFrame, model: Model, least: float = 0.8) -> DataFrame:
+def find(found: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """_id, base, spans: arrays of (kind, start, end), in the order of kinds and places."""
     w = [F.lit(float(x)) for x in model.weights]
 
@@ -216,11 +218,12 @@ def find(found: DataFrame, model: Model, least: float = 0.8) -> DataFrame:
     return found.select("_id", F.transform(F.filter("c", lambda c: c.base), span).alias("base"), F.transform(taken, span).alias("spans"))
 
 
-def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """id, base and spans (arrays of kind index, start, end in code points) of every row.
 
     Null and empty texts have none. Repeated rows stay; null ids are rows like others; an empty table gives no rows;
-    other columns are not read. Labelers and classifier learn from all rows."""
+    other columns are not read. Very long texts are searched whole. Labelers and classifier learn from all rows; what
+    the classifier takes for personal data with probability `least` or more becomes a span."""
     found = cut(candidates(docs, id_col, text_col))
     return find(found, fit(found), least).withColumnRenamed("_id", id_col)
 
@@ -238,10 +241,10 @@ def digest(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return spans.select(id_col, *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs with every span in text_col replaced by its kind in brackets; other columns and null texts stay as they are.
 
-    The text is read twice, once to learn and once to mask, and never shuffled."""
+    The text is read twice, once to learn and once to mask, and never shuffled. An empty table stays empty."""
     model = fit(cut(candidates(docs, id_col, text_col)))
     found = find(candidates(docs, id_col, text_col, whole_rows=True), model, least)
     return found.select(*((masked(F.col("_id")[c], F.col("spans")) if c == text_col else F.col("_id")[c]).alias(c) for c in docs.columns))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import by_bytes, sent_once
+
 #: Insults in several languages and pronouns of the second person.
 INSULTS = "idiot stupid moron loser pathetic disgusting scum trash clown worthless dumb imbecile hate ugly fool garbage vermin idiota estúpido imbécil basura asqueroso stupide crétin ordure abruti dumm trottel abschaum widerlich versager".split()
 SECOND = set("you your yours yourself u ur du dein deine dich dir ihr euch tu te toi ton ta tes vous votre tú ti usted ustedes vos".split())
@@ -230,13 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1), predicted of every row. Null and empty texts score like any text without words; repeated
-    rows stay; an empty table gives no rows; other columns are not read."""
+    rows stay; an empty table gives no rows; other columns are not read. Very long texts are judged whole."""
+    sent = sent_once(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         weigher = Weigher(model.learned)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part in by_bytes(b, 1):
                 s = model.score([t or "" for t in part.column(1).to_pylist()], weigher)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
@@ -244,14 +247,17 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows that are not predicted toxic, with all their columns; nothing is shuffled."""
+    """The rows that are not predicted toxic, with all their columns; nothing is shuffled. Null texts stay or go as texts
+    without words do; an empty table stays empty."""
     at = docs.columns.index(text_col)
 
+    sent = sent_once(docs.sparkSession, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         weigher = Weigher(model.learned)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for part in by_bytes(b, at):
                 s = model.score([t or "" for t in part.column(at).to_pylist()], weigher)
                 yield part.filter(pa.array(s < 0.5))
 

@@ -62,3 +62,32 @@ def test_scan_abandons_only_the_far():
     i, j = scan(q, bound, x)
     inside = d <= bound[:, None]
     assert (d[i, j] <= bound[i] * 1.001 + 1e-3).all() and len(i) > 0.95 * inside.sum()
+
+
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    want, have = brute(rows), defaultdict(set)
+    for r in search(df, F.col("vec_id") % 20 == 0).collect():
+        have[r.query_id].add(r.vec_id)
+    assert sum(len(have[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    """A column of doubles keeps its precision; vectors of another length meet their like."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(60)] + [(100 + i, r.standard_normal(3).tolist()) for i in range(30)]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    by = dict(rows)
+    for q in (0, 20, 40, 100, 120):
+        own = sorted((-float(np.dot(np.array(by[q]), np.array(v))), i) for i, v in rows if i != q and len(v) == len(by[q]))[:5]
+        mine = sorted((x.rank, x.vec_id, x.score) for x in got if x.query_id == q)
+        assert [i for _, i, _ in mine] == [i for _, i in own]
+        assert all(abs(a[2] + b[0]) < 1e-12 for a, b in zip(mine, own, strict=True))
+
+
+def test_bound_tightens_within_a_list(spark):
+    """One list of many vectors, several chunks and blocks, against brute force."""
+    r = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((5000, 12)))]
+    check(spark, rows, 0.9, sample_rows=100, vectors_a_block=100_000)

@@ -83,8 +83,19 @@ def test_em_and_added_spans(spark):
         assert all(abs(a - b) < 1e-9 for a, b in zip(model.reliability[kind], brute_em(sorted(patterns.items())), strict=True))
     spans = {x.doc_id: x.spans for x in digest(detect(df)).collect()}
     at = texts.index("please call phone (415) 555-0132 now")
-    assert spans[at] in ("", "phone:18:32") and all("card" not in spans[i] for i, t in enumerate(texts) if t.startswith("order"))
-    assert spans[at + 1] in ("", "email:9:38")
+    assert spans[at] == "phone:18:32" and all("card" not in spans[i] for i, t in enumerate(texts) if t.startswith("order"))
+    assert spans[at + 1] == f"email:9:{len(texts[at + 1])}"
+    base = {x.doc_id: (x.n_email, x.n_phone) for x in digest(detect(df)).collect()}
+    assert base[at] == base[at + 1] == (0, 0)  # what the classifier adds is no base match
+
+
+def test_places_of_many_matches(spark):
+    """Prefix sums over several blocks of matches, in a long text."""
+    r = random.Random(3)
+    text = " ".join(f"{'x' * r.randrange(9)} a{i}@b{i}.org" for i in range(1500))
+    row = digest(detect(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.org", text)]
+    assert row.n_email == 1500 and row.spans == ",".join(want)
 
 
 def test_masking_and_empty(spark):

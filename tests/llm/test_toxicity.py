@@ -57,3 +57,58 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [x.predicted for x in score(docs, train(docs, none, fold("doc_id", 5) != 0)).collect()] == [0]
     assert score(docs.where("false"), train(docs.where("false"), none, fold("doc_id", 5) != 0)).collect() == []
+
+
+def test_trees_against_a_walk():
+    """Scores of the trees against one walk a row, and splits against the best of all by brute force."""
+    import numpy as np
+
+    from recollect.llm.toxicity import Trees
+
+    r = np.random.default_rng(4)
+    x = r.integers(0, 5, (300, 3)).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(float)
+    w = np.ones(300)
+    t = Trees(rounds=5, depth=2).fit(x, y, w)
+
+    def walk(row):
+        score = t.base
+        for on, at, value in t.trees:
+            node = 0
+            for level in range(2):
+                j = on[level][node]
+                node = 2 * node + (sum(e < row[j] for e in t.edges[j]) > at[level][node])
+            score += value[node]
+        return score
+
+    assert np.allclose(t.raw(x), [walk(row) for row in x])
+    q = 1 / (1 + np.exp(-t.base))
+    g, h = y - q, np.full(300, q * (1 - q))
+
+    def gain(mask):
+        part = lambda m: g[m].sum() ** 2 / (h[m].sum() + t.penalty)
+        return part(mask) + part(~mask) - part(np.ones(300, bool))
+
+    best = max(gain(x[:, j] <= e) for j in range(3) for e in np.unique(x[:, j])[:-1])
+    on, at, _ = t.trees[0]
+    binned = sum((x[:, [on[0][0]]] > e).astype(int) for e in t.edges[on[0][0]])[:, 0]
+    assert abs(gain(binned <= at[0][0]) - best) < 1e-9
+
+
+def test_features_against_plain_counts():
+    from recollect.llm.toxicity import FEATURES, INSULTS, SECOND, Weigher, features
+
+    r = random.Random(6)
+    words = [*INSULTS[:5], "you", "your", "fine", "st*pid", "1d10t", "HELLO", "soooo", "ok!!", "day"]
+    for n in (0, 1, 7, 500):
+        text = " ".join(r.choice(words) for _ in range(n))
+        got = dict(zip(FEATURES, features([text], Weigher({}))[0], strict=True))
+        plain = [w.strip("!") for w in text.lower().split()]
+        assert got["base_density"] == pytest.approx(sum(w in INSULTS for w in plain) / max(1, n))
+        assert got["second_density"] == pytest.approx(sum(w in SECOND for w in plain) / max(1, n))
+        assert got["capital_rate"] == pytest.approx(sum(c.isupper() for c in text) / max(1, len(text)))
+        assert got["exclaim_rate"] == pytest.approx(text.count("!") / max(1, len(text)))
+        assert got["digit_rate"] == pytest.approx(sum(c.isdigit() for c in text) / max(1, len(text)))
+        hits = [i for i, w in enumerate(plain) if w in INSULTS or w == "1d10t"]
+        near = sum(any(abs(i - j) <= 5 for j, w in enumerate(plain) if w in SECOND) for i in hits)
+        assert got["near_second"] == pytest.approx(near / max(1, n))
