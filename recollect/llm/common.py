@@ -46,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(spark: SparkSession, path: str, at_end: bool = False) -> None:
+    """Delete a folder of the shared ones, now or when the session ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_end:
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    else:
+        files.delete(at, True)
+
+
 def by_bytes(batch: pa.RecordBatch, text: int, most: int = 4 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` rows and about `most` bytes in the column `text`, a row at least."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0))
