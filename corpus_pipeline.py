@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import minhash, mixing, packing, pii, toxicity
-from recollect.llm.common import fold, shared_dir, table
+from recollect.llm.common import drop, fold, shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, each result written as Parquet in the shared folder and read again."""
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to documents, each result written as Parquet in the shared folder and read again. A result goes
+    when the next one is written; the last one, which the returned rows are read from, at the end of the session."""
+    docs, at, last = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
+    drop(spark, at, at_end=True)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if last:
+            drop(spark, last)
+        last = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

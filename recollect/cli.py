@@ -7,12 +7,14 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from recollect import __version__
 from recollect.plans.compaction import compact, result_messages
 from recollect.sources import messages as M
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="recollect", description="Compact a conversation into a prompt block.")
+    p.add_argument("-v", "--version", action="version", version=f"%(prog)s {__version__}")
     sub = p.add_subparsers(dest="command")
     c = sub.add_parser("compress", help="compact a JSON array of {role, content}")
     c.add_argument("file", nargs="?")
@@ -22,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--model")
     c.add_argument("--keep", type=int, default=10)
     c.add_argument("--style", default="structured")
-    c.add_argument("-f", "--format", default="prompt")
+    c.add_argument("-f", "--format", default="full")
     c.add_argument("-o", "--out")
     return p
 

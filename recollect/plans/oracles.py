@@ -5,10 +5,16 @@ from __future__ import annotations
 from recollect.functions import lexicon as L
 from recollect.plans import event_messages
 
+# White space and the forms of names, as in functions.text.
 WS = r"\t\n\v\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 IDENT = r"([@\w][\w\-./@]*)"
 
 
+#: Conversations of many turns with ties, one of them without an id; read alike by both engines. The chain, which joins
+#: by conv_id, has -1 for null.
+ODD_ID, ODD_TURN = "CASE WHEN conv_id % 10 > 0 THEN conv_id % 10 END", "CAST(floor(turn / 2) AS BIGINT)"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -77,7 +83,11 @@ def with_(source: str, keep: int) -> dict[str, str]:
     few = trim("string_split_regex(content, '[.\\n!?]+')[1]")
     part = lambda b: f"CASE WHEN {b} <> '' THEN chr(10) || {q(L.LABELS[b] + ': ')} || {b} ELSE '' END"
     return {
-        "msgs": "SELECT conv_id, turn, role, text AS content FROM conversations" if source == "conversations" else event_messages.sql("events"),
+        "msgs": {
+            "conversations": "SELECT conv_id, turn, role, text AS content FROM conversations",
+            "odd": f"SELECT coalesce({ODD_ID}, -1) AS conv_id, {ODD_TURN} AS turn, role, text AS content FROM conversations",
+            "events": event_messages.sql("events"),
+        }[source],
         "split": f"SELECT *, n > {keep} AND rn <= n - {keep} AS is_old FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, content NULLS FIRST) AS rn FROM msgs)",
         "old": "SELECT conv_id, turn, rn, coalesce(nullif(role, ''), 'user') AS role, coalesce(content, '') AS content FROM split WHERE is_old",
         "cut": f"SELECT conv_id, turn, rn, role, c, list_filter(list_transform(string_split_regex(regexp_replace(c, '\\.([a-zA-Z0-9_-])', '___DOT___\\1', 'g'), '[.\\n!]+'), lambda x: {trim('''replace(x, '___DOT___', '.')''')}), lambda x: {units('x')} >= {L.MIN_LINE}) AS l FROM (SELECT *, {trim('content')} AS c FROM old) WHERE c <> ''",

@@ -12,6 +12,7 @@ from recollect.functions import text as T
 from recollect.operators import extract, merge, parse, providers, render, window
 from recollect.plans import compaction, oracles
 from recollect.plans.event_messages import from_events
+from recollect.sources import messages as formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,12 +23,17 @@ SOURCES = {"conversations": 2, "events": 10}
 
 
 def read(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    return from_events(spark, sf_dir) if source == "events" else window.messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    if source == "events":
+        return from_events(spark, sf_dir)
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    if source == "odd":
+        table = table.select(F.expr(oracles.ODD_ID).alias("conv_id"), F.expr(oracles.ODD_TURN).alias("turn"), "role", "text")
+    return window.messages(table)
 
 
-def over_both(name: str, build: Callable[[DataFrame], DataFrame], select: str, old: bool = True) -> None:
-    """Register build over the split messages (the old ones only, if `old`) of both sources."""
-    for source, keep in SOURCES.items():
+def over_both(name: str, build: Callable[[DataFrame], DataFrame], select: str, old: bool = True, keep: dict[str, int] = SOURCES) -> None:
+    """Register build over the split messages (the old ones only, if `old`) of both sources, or those of `keep`."""
+    for source, keep in keep.items():
         def run(spark: SparkSession, sf_dir: str, source: str = source, keep: int = keep) -> DataFrame:
             split = window.split_window(read(spark, sf_dir, source), keep)
             return build(split.where("is_old") if old else split)
@@ -48,7 +54,7 @@ lines_of = extract.with_lines
 
 over_both("window_split", lambda s: s.select("conv_id", "turn", "role", "content", "is_old"), "SELECT conv_id, turn, role, content, is_old FROM split", old=False)
 over_both("window_counts", lambda s: compaction.token_stats(s).select("conv_id", "n", "n_old", "n_tail"), "SELECT conv_id, n, n_old, n_tail FROM stats", old=False)
-over_both("passthrough_meta", lambda s: compaction.token_stats(s).where("n_old = 0").select("conv_id", F.lit("passthrough").alias("mode"), F.col("n").alias("kept_raw")), "SELECT conv_id, 'passthrough' AS mode, n AS kept_raw FROM stats WHERE n_old = 0", old=False)
+over_both("passthrough_meta", lambda s: compaction.token_stats(s).where("n_old = 0").select("conv_id", F.lit("passthrough").alias("mode"), F.col("n").alias("kept_raw")), "SELECT conv_id, 'passthrough' AS mode, n AS kept_raw FROM stats WHERE n_old = 0", old=False, keep=SOURCES | {"events": 60})
 over_both("message_tokens", lambda s: s.select("conv_id", "turn", T.message_tokens(F.col("role"), F.col("content")).alias("tokens")), f"SELECT conv_id, turn, CAST({oracles.tokens('content')} + {oracles.tokens('role')} + 4 AS BIGINT) AS tokens FROM split", old=False)
 over_both("conversation_tokens", lambda s: compaction.token_stats(s).select("conv_id", "original_tokens"), "SELECT conv_id, original_tokens FROM stats", old=False)
 over_both("split_lines", lambda o: lines_of(o).select("conv_id", "turn", F.col("line_no").cast("long").alias("line_no"), "line"), "SELECT conv_id, turn, line_no, line FROM lines")
@@ -60,7 +66,7 @@ over_both("bucket_counts", lambda o: extract.classify(lines_of(o)).groupBy("buck
 over_both("bucket_dedup", lambda o: extract.distinct_facts(extract.classify(lines_of(o))).select("conv_id", "bucket", "fact", F.col("pos.turn").alias("turn")), "SELECT conv_id, bucket, fact, turn FROM facts")
 over_both("bucket_topk", lambda o: facts(o).select("conv_id", "bucket", F.col("rank").cast("long").alias("rank"), "fact"), "SELECT conv_id, bucket, rank, fact FROM ranked")
 for _name in ("called", "building", "scoped"):
-    over_both(f"project_{_name}", lambda o, c=_name: extract.project_candidates(extract.user_messages(o)).where(F.col(c).isNotNull()).select("conv_id", F.col("urn").cast("long").alias("urn"), F.col(c).alias("name")), f"SELECT conv_id, urn, {_name} AS name FROM candidates WHERE {_name} IS NOT NULL")
+    over_both(f"project_{_name}", lambda o, c=_name: extract.project_candidates(extract.user_messages(o)).where(F.col(c).isNotNull()).select("conv_id", F.col("urn").cast("long").alias("urn"), F.col(c).alias("name")), f"SELECT conv_id, urn, {_name} AS name FROM candidates WHERE {_name} IS NOT NULL", keep={"events": 10})
 over_both("project_fallback", lambda o: extract.user_messages(o).where("urn = 1").select("conv_id", extract.fallback_project(F.col("content")).alias("fallback")), "SELECT conv_id, fallback FROM project_fallback")
 over_both("project_name", extract.projects, "SELECT conv_id, project FROM projects")
 over_both("fallback_facts", lambda o: text_of(extract.fallback_facts(o), "fallback"), "SELECT conv_id, string_agg(s, ' | ' ORDER BY r) AS fallback FROM few GROUP BY conv_id")
@@ -89,9 +95,97 @@ whole("compaction", lambda m, k: text_of(compaction.compact(m, k), *WIDE, *META,
 whole("result_meta", lambda m, k: compaction.compact(m, k).select("conv_id", *META), f"SELECT conv_id, {', '.join(META)} FROM ({RESULT})")
 whole("savings", lambda m, k: compaction.compact(m, k).where("compressed_count > 0").select("conv_id", "saved_token_count"), f"SELECT conv_id, saved_token_count FROM ({RESULT}) WHERE compressed_count > 0")
 whole("result_messages", lambda m, k: compaction.result_messages(m, compaction.compact(m, k), k), "SELECT conv_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, prompt_block AS content FROM blocks UNION ALL SELECT conv_id, turn, role, content FROM split WHERE NOT is_old")
-whole("ai_stub", lambda m, k: text_of(compaction.compact(m, k, ask=providers.stub), *WIDE, *META), None)
-whole("ai_chunked_stub", lambda m, k: text_of(compaction.compact(m, k, ask=providers.stub, provider="groq", chunked=True), *WIDE, *META), None)
+whole("prompt_format", lambda m, k: formats.prompt_texts(compaction.compact(m, k)), f"SELECT s.conv_id, coalesce(prompt_block, {oracles.q(formats.NOTHING)}) AS prompt FROM stats s LEFT JOIN blocks USING (conv_id)")
+
+# The stub of a model answers with the longest line that it is given, as the only completed item, and counts a token for
+# four characters.
+_TRANSCRIPT = "string_agg(upper(role) || ': ' || content, chr(10) || chr(10) ORDER BY rn)"
+_ASKED = {
+    "ai_stub": f"SELECT o.conv_id, 0 AS chunk_id, 'Draft:' || chr(10) || any_value(prompt_block) || chr(10) || chr(10) || 'Messages:' || chr(10) || {_TRANSCRIPT} AS u FROM old o JOIN blocks USING (conv_id) GROUP BY o.conv_id",
+    "ai_chunked_stub": f"SELECT conv_id, chunk_id, {_TRANSCRIPT} AS u FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY rn) - 1) // 15 AS chunk_id FROM old) GROUP BY conv_id, chunk_id",
+}
+_LONGEST = f"list_sort(list_transform(list_filter(list_transform(string_split(u, chr(10)), lambda x: {oracles.trim('x')}), lambda x: x <> ''), lambda x: {{'n': length(x), 's': x}}), 'DESC')[1].s"
+
+
+def stub_sql(name: str) -> str:
+    """The result of compaction by the stub, chunk by chunk or at once."""
+    replies = f"SELECT conv_id, chunk_id, length(u) // 4 AS tokens, substr({_LONGEST}, 1, 100) AS longest FROM ({_ASKED[name]})"
+    lists = f"SELECT conv_id, sum(tokens) AS tokens, list(longest ORDER BY chunk_id) AS done, list({{'s': longest, 'w': {WORDS.replace('X', 'longest')}}} ORDER BY chunk_id) AS pairs FROM ({replies}) GROUP BY conv_id"
+    made = f"SELECT conv_id, tokens, array_to_string(CASE WHEN len(done) > 1 THEN {fold_sql('pairs')} ELSE done END, ' | ') AS done FROM ({lists})"
+    block = f"{oracles.q(L.HEADER)} || chr(10) || 'Project: stub' || chr(10) || '{L.LABELS['completed']}: ' || done || chr(10) || {oracles.q(L.FOOTER)}"
+    given = lambda v: f"CASE WHEN n_old > 0 THEN {v} END"
+    return (
+        f"SELECT s.conv_id, CASE WHEN n_old = 0 THEN 'passthrough' ELSE 'ai' END AS mode, {given(oracles.q('stub'))} AS project, done AS completed, "
+        + ", ".join(f"{given(oracles.q(''))} AS {b}" for b in L.BUCKETS if b != "completed")
+        + ", n AS original_message_count, n_old AS compressed_count, n_tail AS kept_raw, CAST(coalesce(tokens, 0) AS BIGINT) AS token_count, "
+        + f"CAST(CASE WHEN n_old = 0 THEN 0 ELSE greatest(0, original_tokens - {oracles.tokens(block)}) END AS BIGINT) AS saved_token_count FROM stats s LEFT JOIN ({made}) USING (conv_id)"
+    )
+
+
+def paragraph_sql() -> str:
+    """As stub_sql, for paragraphs: the last reply as it is. Replies are plain ASCII without quotes in the event messages."""
+    last = f"SELECT conv_id, sum(length(u) // 4) AS tokens, max_by(substr({_LONGEST}, 1, 100), chunk_id) AS longest FROM ({_ASKED['ai_chunked_stub']}) GROUP BY conv_id"
+    made = f"""SELECT conv_id, tokens, '{{"project": "stub", "completed": ["' || longest || '"]}}' AS paragraph FROM ({last})"""
+    block = f"{oracles.q(L.HEADER)} || chr(10) || paragraph || chr(10) || {oracles.q(L.FOOTER)}"
+    return (
+        "SELECT s.conv_id, CASE WHEN n_old = 0 THEN 'passthrough' ELSE 'ai' END AS mode, paragraph, n AS original_message_count, n_old AS compressed_count, n_tail AS kept_raw, "
+        f"CAST(coalesce(tokens, 0) AS BIGINT) AS token_count, CAST(CASE WHEN n_old = 0 THEN 0 ELSE greatest(0, original_tokens - {oracles.tokens(block)}) END AS BIGINT) AS saved_token_count FROM stats s LEFT JOIN ({made}) USING (conv_id)"
+    )
+
+
+def fold_sql(items: str) -> str:
+    """The fold of merge.overlap_dedup over a list of structs of a text s and its words w."""
+    first = "list_position(list_transform(a, lambda k: len(list_intersect(k.w, c.w)) >= 2), true)"
+    swapped = f"list_transform(a, lambda k, i: CASE WHEN i = p AND {oracles.units('c.s')} > {oracles.units('k.s')} THEN c ELSE k END)"
+    step = f"list_transform([{first}], lambda p: CASE WHEN p > 0 THEN {swapped} ELSE list_append(a, c) END)[1]"
+    return f"list_transform(list_reduce({items}, lambda a, c: {step}, {items}[1:0]), lambda k: k.s)"
+
+
+whole("ai_stub", lambda m, k: text_of(compaction.compact(m, k, ask=providers.stub), *WIDE, *META), stub_sql("ai_stub"))
+whole("ai_chunked_stub", lambda m, k: text_of(compaction.compact(m, k, ask=providers.stub, provider="groq", chunked=True), *WIDE, *META), stub_sql("ai_chunked_stub"))
 whole("paragraph_stub", lambda m, k: text_of(compaction.compact(m, k, ask=providers.stub, style="paragraph"), "paragraph", *META), None)
+ORACLES["paragraph_stub_events"] = oracles.sql("events", 10, paragraph_sql())
+
+# Conversations with a null id and tied turns.
+ODD_KEEP = 4
+_ODD = lambda select: oracles.sql("odd", ODD_KEEP, f"SELECT * REPLACE (nullif(conv_id, -1) AS conv_id) FROM ({select})")
+QUERIES["window_split_odd"] = lambda spark, sf_dir: window.split_window(read(spark, sf_dir, "odd"), ODD_KEEP).select("conv_id", "turn", "role", "content", "is_old")
+ORACLES["window_split_odd"] = _ODD("SELECT conv_id, turn, role, content, is_old FROM split")
+QUERIES["compaction_odd"] = lambda spark, sf_dir: text_of(compaction.compact(read(spark, sf_dir, "odd"), ODD_KEEP), *WIDE, *META, "prompt_block")
+ORACLES["compaction_odd"] = _ODD(RESULT)
+QUERIES["ai_stub_odd"] = lambda spark, sf_dir: text_of(compaction.compact(read(spark, sf_dir, "odd"), ODD_KEEP, ask=providers.stub), *WIDE, *META)
+ORACLES["ai_stub_odd"] = _ODD(stub_sql("ai_stub"))
+
+
+def result_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msgs = read(spark, sf_dir, "odd")
+    return compaction.result_messages(msgs, compaction.compact(msgs, ODD_KEEP), ODD_KEEP)
+
+
+QUERIES["result_messages_odd"] = result_odd
+ORACLES["result_messages_odd"] = _ODD("SELECT conv_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, prompt_block AS content FROM blocks UNION ALL SELECT conv_id, turn, role, content FROM split WHERE NOT is_old")
+
+
+def keep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keep_last of 0 and -2, as compat allows them."""
+    msgs = read(spark, sf_dir, "conversations")
+    one = lambda k: window.split_window(msgs, k, compat=True).select(F.lit(k).alias("keep_last"), "conv_id", "turn", "is_old", "is_tail")
+    return one(0).union(one(-2))
+
+
+QUERIES["window_keep_edges"] = keep_edges
+ORACLES["window_keep_edges"] = oracles.sql("conversations", 2, "SELECT k AS keep_last, conv_id, turn, true AS is_old, rn > -k AS is_tail FROM split, (VALUES (0), (-2)) v(k)")
+
+
+def json_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a JSON array of messages, read back."""
+    msgs = read(spark, sf_dir, "conversations")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    return formats.exploded(msgs.groupBy("conv_id").agg(F.to_json(F.transform(ordered, lambda m: F.struct(m.role.alias("role"), m.content.alias("content")))).alias("value")))
+
+
+QUERIES["json_source"] = json_source
+ORACLES["json_source"] = oracles.sql("conversations", 2, "SELECT conv_id, rn - 1 AS turn, role, content FROM split")
 
 
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,14 +223,6 @@ ORACLES["shared_words"] = (
 )
 
 
-def fold_sql(items: str) -> str:
-    """The fold of merge.overlap_dedup over a list of structs of a text s and its words w."""
-    first = "list_position(list_transform(a, lambda k: len(list_intersect(k.w, c.w)) >= 2), true)"
-    swapped = f"list_transform(a, lambda k, i: CASE WHEN i = p AND {oracles.units('c.s')} > {oracles.units('k.s')} THEN c ELSE k END)"
-    step = f"list_transform([{first}], lambda p: CASE WHEN p > 0 THEN {swapped} ELSE list_append(a, c) END)[1]"
-    return f"list_transform(list_reduce({items}, lambda a, c: {step}, {items}[1:0]), lambda k: k.s)"
-
-
 QUERIES["overlap_dedup"] = lambda spark, sf_dir: sentence_lists(spark, sf_dir).select("doc_id", F.array_join(merge.overlap_dedup(F.col("items")), " | ").alias("kept"))
 ORACLES["overlap_dedup"] = f"SELECT doc_id, array_to_string({fold_sql('items')}, ' | ') AS kept FROM ({SENTENCES})"
 
