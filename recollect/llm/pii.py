@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from recollect.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
-BLOCK = 256
+#: Matches, and code points of text, that are taken at once.
+BLOCK, RUN = 256, 2048
 
 #: The base patterns. Possessive runs and the look-behinds (or the end of the match before) find the same matches as
 #: the plain forms, but in linear time and without recursion.
@@ -251,11 +252,25 @@ def mask(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lea
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span (overlaps joined) replaced by [KIND] of the one that starts first."""
+    """The text with every span (overlaps joined) replaced by [KIND] of the one that starts first.
+
+    Text and spans are taken in blocks, so the time is linear in both."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    size = F.length(text)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(size / RUN).cast("int")), lambda b: F.substring(text, b * RUN + 1, F.lit(RUN)))
     by_start = F.array_sort(F.transform(spans, lambda c: F.struct(c.start.alias("start"), (-c.end).alias("rest"), c.kind.alias("kind"))))
-    # Fold from the left: what is written so far and where the text goes on.
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, c: F.when(c.start < a["at"], F.struct(a.out.alias("out"), F.greatest(a["at"], -c.rest).alias("at"))).otherwise(F.struct(F.concat(a.out, F.array(F.substring(text, a["at"] + 1, c.start - a["at"]), names[c.kind])).alias("out"), (-c.rest).alias("at")))
-    done = F.aggregate(by_start, start, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    state = lambda out, at: F.struct(out.alias("out"), at.alias("at"))
+    none = F.array().cast("array<string>")
+
+    def piece(parts: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / RUN).cast("int"), F.floor((end - 1) / RUN).cast("int")
+        return F.when(end > start, F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), start % RUN + 1, end - start)).otherwise("")
+
+    def fold(parts: Column, ordered: Column) -> Column:
+        # From the left: what is written so far and where the text goes on.
+        one = lambda a, c: F.when(c.start < a["at"], state(a.out, F.greatest(a["at"], -c.rest))).otherwise(state(F.concat(a.out, F.array(piece(parts, a["at"], c.start), names[c.kind])), -c.rest))
+        some = lambda a, b: F.aggregate(F.slice(ordered, b * BLOCK + 1, F.lit(BLOCK)), state(none, a["at"]), one, lambda x: state(F.concat(a.out, F.array(F.array_join(x.out, ""))), x["at"]))
+        number = F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK).cast("int"))
+        return F.aggregate(number, state(none, F.lit(0)), some, lambda a: F.concat(F.array_join(a.out, ""), piece(parts, a["at"], size)))
+
+    return F.when(F.size(spans) > 0, _bound(blocks, lambda parts: _bound(by_start, lambda ordered: fold(parts, ordered)))).otherwise(text)

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from recollect.llm.pii import KINDS, candidates, detect, digest, fit, masked
 
 SCHEMA = "doc_id long, text string, c int, spans string"
@@ -100,8 +102,27 @@ def test_places_of_many_matches(spark):
 
 def test_masking_and_empty(spark):
     df = spark.createDataFrame([(1, "é a@b.c or +1 415 555 0132!"), (2, None), (3, "none")], "doc_id long, text string")
-    from pyspark.sql import functions as F
-
     got = {x.doc_id: x.m for x in df.join(detect(df), "doc_id").select("doc_id", masked(F.col("text"), F.col("spans")).alias("m")).collect()}
     assert got == {1: "é [EMAIL] or [PHONE]!", 2: None, 3: "none"}
     assert digest(detect(df.where("false"))).collect() == []
+
+
+def test_masked_many_spans(spark):
+    """Blocks of text and spans leave no seam: overlaps, touching spans, spans over several blocks, wide characters."""
+    r = random.Random(3)
+    rows = []
+    for n in (1, 255, 256, 257, 900, 2600):
+        text = "".join(r.choice("abé\U0001f600 ") for _ in range(5 * n + 3))
+        starts = sorted(r.randrange(len(text)) for _ in range(n))
+        spans = [(r.randrange(4), s, min(len(text), s + r.choice([1, 2, 5, 9, 5000 if r.random() < 0.002 else 3]))) for s in starts]
+        rows.append((text, spans))
+    rows += [("x" * 2048, [(0, 0, 2048)]), ("y" * 4096, [(1, 2047, 2049), (2, 4095, 4096)]), ("", []), ("plain", [])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<kind:int,start:int,end:int>>")
+    got = [x.m for x in df.select(masked(F.col("text"), F.col("spans")).alias("m")).collect()]
+    for (text, spans), have in zip(rows, got, strict=True):
+        out, at = "", 0
+        for start, rest, kind in sorted((s, -e, k) for k, s, e in spans):
+            if start >= at:
+                out += text[at:start] + f"[{KINDS[kind].upper()}]"
+            at = max(at, -rest)
+        assert have == out + text[at:]
