@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import by_bytes, cut
+from recollect.llm.common import by_bytes, cut, lean
 
 MINIMA, ROWS = 128, 4
 SPACE = np.zeros(256, bool)
@@ -132,7 +132,7 @@ def profile(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
                     sk.append(sketch(sig))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sk, pa.binary())], ["id", "n", "k1", "k2", "bands", "sk"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PROFILE)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), PROFILE)
 
 
 class Hot:

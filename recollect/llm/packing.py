@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollect.llm.common import by_bytes, lean
 from recollect.llm.encoding import encoder, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long"
@@ -62,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, *, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, ordinal = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1, rows=2000)):
             out: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(texts_of(b.column(1))), strict=True):
                 view = memoryview(ids + end)
@@ -74,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, *, id_col: str = "doc_i
                     out.append((doc, start, len(part) // 4, zlib.crc32(part), total, group))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, per_group: int = 4096, seed: int = 17) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.common import by_bytes, sent_once
+from recollect.llm.common import by_bytes, lean, sent_once
 
 #: Insults in several languages and pronouns of the second person.
 INSULTS = "idiot stupid moron loser pathetic disgusting scum trash clown worthless dumb imbecile hate ugly fool garbage vermin idiota estúpido imbécil basura asqueroso stupide crétin ordure abruti dumm trottel abschaum widerlich versager".split()
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 s = model.score([t or "" for t in part.column(1).to_pylist()], weigher)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -261,4 +261,4 @@ def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
                 s = model.score([t or "" for t in part.column(at).to_pylist()], weigher)
                 yield part.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
